@@ -1,8 +1,9 @@
-"""Avro bodies to Arrow columns, a whole batch of rows at a time.
+"""Avro bodies from and to Arrow columns, a whole batch of rows at a time.
 
-All rows of a batch are read in step: one cursor per row into the batch's value buffer,
-advanced by numpy. A row that does not hold what its type asks for turns bad and is
-left out of the further steps.
+Reading moves all rows of a batch in step: one cursor per row into the batch's value
+buffer, advanced by numpy. A row that does not hold what its type asks for turns bad
+and is left out of the further steps. Writing makes a piece of bytes per field, each
+with its size per row, and puts the pieces of a row next to each other.
 """
 
 import numpy as np
@@ -189,3 +190,118 @@ def body_reader(kinds, header_bytes):
             )
 
     return read
+
+
+# --- writing: a piece is (bytes, size per row) --------------------------------------------
+
+
+def _long_piece(values):
+    """Zig-zag varints: seven bits a byte, the high bit set on all but the last."""
+    values = np.asarray(values, np.int64)
+    zigzag = ((values << 1) ^ (values >> 63)).astype(np.uint64)
+    shifts = np.arange(10, dtype=np.uint64) * np.uint64(7)
+    rest = zigzag[:, None] >> shifts
+    size = np.maximum((rest != 0).sum(axis=1), 1)
+    nth = np.arange(10)
+    byte = (rest & np.uint64(0x7F)).astype(np.uint8)
+    byte |= np.where(nth < size[:, None] - 1, 0x80, 0).astype(np.uint8)
+    return byte[nth < size[:, None]], size
+
+
+def _string_piece(values):
+    binary = values.cast(pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset :][: len(binary) + 1]
+    raw = binary.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+    size = np.diff(offsets)
+    return _joined([_long_piece(size), (data[offsets[0] : offsets[-1]], size)])
+
+
+def _array_piece(values, item_type):
+    """One block of all items and an empty one; an empty list is just the latter."""
+    count = values.value_lengths().to_numpy()
+    item_bytes, item_size = _piece(values.flatten(), item_type)
+    ends = np.concatenate([[0], np.cumsum(item_size)])[np.concatenate([[0], np.cumsum(count)])]
+    counts, count_size = _long_piece(count)
+    filled = np.repeat(count > 0, count_size)
+    return _joined(
+        [
+            (counts[filled], np.where(count > 0, count_size, 0)),
+            (item_bytes, np.diff(ends)),
+            (np.zeros(len(count), np.uint8), np.ones(len(count), np.int64)),
+        ]
+    )
+
+
+def _optional_piece(values, data_type):
+    present = values.is_valid().to_numpy(zero_copy_only=False)
+    branch = np.where(present, 2, 0).astype(np.uint8)  # varint of branch 1 or 0
+    data, present_size = _piece(values.take(pa.array(np.flatnonzero(present))), data_type)
+    size = np.zeros(len(present), np.int64)
+    size[present] = present_size
+    return _joined([(branch, np.ones(len(present), np.int64)), (data, size)])
+
+
+def _piece(values, data_type, nullable=False):
+    if nullable:
+        return _optional_piece(values, data_type)
+    if values.null_count:
+        raise ValueError("a required field is null")
+    if isinstance(data_type, T.StringType):
+        return _string_piece(values)
+    if isinstance(data_type, T.LongType):
+        return _long_piece(values.to_numpy())
+    if isinstance(data_type, T.BooleanType):
+        return values.to_numpy(zero_copy_only=False).astype(np.uint8), np.ones(len(values), np.int64)
+    if isinstance(data_type, T.ArrayType):
+        return _array_piece(values, data_type.elementType)
+    kind = next(kind for kind, record in TYPE_OF.items() if record == data_type)
+    optional = NULLABLE.get(kind, ())
+    fields = zip(data_type, values.flatten())
+    return _joined([_piece(column, f.dataType, f.name in optional) for f, column in fields])
+
+
+def _joined(pieces):
+    """Put the pieces of each row next to each other."""
+    sizes = np.stack([size for _, size in pieces], axis=1)
+    ends = np.cumsum(sizes).reshape(sizes.shape)
+    out = np.empty(ends[-1, -1] if len(ends) else 0, np.uint8)
+    for j, (data, size) in enumerate(pieces):
+        # shift from a byte's place in its piece to its place in the row
+        shift = (ends[:, j] - size) - (np.cumsum(size) - size)
+        out[np.arange(len(data)) + np.repeat(shift, size)] = data
+    return out, sizes.sum(axis=1)
+
+
+def _framed(header, values, record):
+    """Frames of a struct column as a binary array."""
+    n = len(values)
+    head = np.tile(np.frombuffer(header, np.uint8), n), np.full(n, len(header))
+    data, size = _joined([head, _piece(values, record)])
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, buffers)
+
+
+def body_writer(headers):
+    """For ``mapInArrow`` over ``key, seq, kind`` and a struct column per kind of ``headers``."""
+
+    def write(batches):
+        for batch in batches:
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            index = np.full(len(kind), -1)
+            parts, done = [], 0
+            for name, header in headers.items():
+                rows = np.flatnonzero(kind == name)
+                if len(rows):
+                    structs = batch.column(COLUMN_OF[name]).take(pa.array(rows))
+                    parts.append(_framed(header, structs, TYPE_OF[name]))
+                    index[rows] = done + np.arange(len(rows))
+                    done += len(rows)
+            frames = pa.concat_arrays(parts) if parts else pa.nulls(0, pa.large_binary())
+            value = frames.take(pa.array(index, mask=index < 0)).cast(pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {"key": batch.column("key"), "seq": batch.column("seq"), "value": value}
+            )
+
+    return write

@@ -1,77 +1,30 @@
 """Framed records: one zero byte, a four-byte schema id, an Avro body.
 
-Encoding and the header checks are column expressions; a body is read by one Arrow pass
+Header checks are column expressions; bodies are written and read by one Arrow pass
 (``avro_body``). Frames that cannot be read are kept with a ``reject_reason``.
 """
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.schemas import COLUMN_OF, NULLABLE, TYPE_OF
-from eventfold.sources.avro_body import body_reader
+from eventfold.schemas import COLUMN_OF, FRAME, TYPE_OF
+from eventfold.sources.avro_body import body_reader, body_writer
 
 MAGIC_HEX = "00"
 HEADER_BYTES = 5
 
 
-# --- encode: hex text, put together and turned into bytes once ---------------------------
-
-
-def _varint_hex(value: Column) -> Column:
-    """Zig-zag varint of a long: seven bits a byte, the high bit set on all but the last."""
-    zigzag = F.shiftleft(value, 1).bitwiseXOR(F.shiftright(value, 63))
-    parts = []
-    for i in range(10):
-        rest = F.shiftrightunsigned(zigzag, 7 * i)
-        more = F.shiftrightunsigned(zigzag, 7 * (i + 1)) != 0 if i < 9 else F.lit(False)
-        byte = rest.bitwiseAND(F.lit(127)) + F.when(more, 128).otherwise(0)
-        two = F.lpad(F.hex(byte), 2, "0")
-        parts.append(two if i == 0 else F.when(rest != 0, two).otherwise(""))
-    return F.concat(*parts)
-
-
-def _field_hex(value: Column, data_type, nullable: bool) -> Column:
-    if nullable:
-        body = _field_hex(value, data_type, False)
-        return F.when(value.isNull(), "00").otherwise(F.concat(F.lit("02"), body))
-    if isinstance(data_type, T.StringType):
-        return F.concat(_varint_hex(F.octet_length(value).cast("long")), F.hex(value.cast("binary")))
-    if isinstance(data_type, T.LongType):
-        return _varint_hex(value)
-    if isinstance(data_type, T.BooleanType):
-        return F.when(value, "01").otherwise("00")
-    if isinstance(data_type, T.ArrayType):
-        items = F.array_join(
-            F.transform(value, lambda item: _field_hex(item, data_type.elementType, False)), ""
-        )
-        block = F.concat(_varint_hex(F.size(value).cast("long")), items, F.lit("00"))
-        return F.when(F.size(value) == 0, "00").otherwise(block)
-    kind = next(kind for kind, record in TYPE_OF.items() if record == data_type)
-    return _record_hex(value, kind)
-
-
-def _record_hex(record: Column, kind: str) -> Column:
-    nullable = NULLABLE.get(kind, ())
-    return F.concat(
-        *[_field_hex(record[f.name], f.dataType, f.name in nullable) for f in TYPE_OF[kind]]
-    )
-
-
 def encode_frames(events: DataFrame, ids: dict[str, int]) -> DataFrame:
     """``key, seq, value`` for events with one struct column per kind; no kind, no value."""
-    value = None
-    for kind, schema_id in ids.items():
-        if COLUMN_OF[kind] not in events.columns:
-            continue
-        header = f"{MAGIC_HEX}{schema_id & 0xFFFFFFFF:08X}"
-        body = F.concat(F.lit(header), _record_hex(F.col(COLUMN_OF[kind]), kind))
-        is_kind = F.col("kind") == kind
-        value = F.when(is_kind, body) if value is None else value.when(is_kind, body)
-    return events.select("key", "seq", F.unhex(value).alias("value"))
-
-
-# --- decode ---------------------------------------------------------------------------------
+    kinds = [kind for kind in ids if COLUMN_OF[kind] in events.columns]
+    headers = {kind: bytes.fromhex(MAGIC_HEX) + struct.pack(">i", ids[kind]) for kind in kinds}
+    rows = events.select(
+        "key", F.col("seq").cast("long").alias("seq"), "kind", *[COLUMN_OF[kind] for kind in kinds]
+    )
+    return rows.mapInArrow(body_writer(headers), FRAME)
 
 
 def _schema_id(value: Column) -> Column:
@@ -121,7 +74,9 @@ def decode_frames(
             T.StructField("reject_reason", T.StringType()),
         ]
     )
-    headed = read_headers(frames, catalog).select("key", "seq", "kind", "value", "reject_reason")
+    headed = read_headers(frames, catalog).select(
+        "key", F.col("seq").cast("long").alias("seq"), "kind", "value", "reject_reason"
+    )
     return headed.mapInArrow(body_reader(kinds, HEADER_BYTES), out)
 
 
