@@ -69,11 +69,21 @@ def _all_events(spark, sf_dir):
     return tables.chaser_log(spark, sf_dir).unionByName(tables.billing_log(spark, sf_dir))
 
 
+def _billing_unordered(spark, sf_dir):
+    """Billing events for queries that need no order: without ``seq``, no shuffle is spent on it."""
+    log = tables.billing_log(spark, sf_dir, hot=None)
+    return log.withColumn("seq", F.lit(None).cast("long"))
+
+
+def _all_events_unordered(spark, sf_dir):
+    return tables.chaser_log(spark, sf_dir).unionByName(_billing_unordered(spark, sf_dir))
+
+
 # --- folds -----------------------------------------------------------------------------------
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.event_counts(_all_events(spark, sf_dir))
+    return counts.event_counts(_all_events_unordered(spark, sf_dir))
 
 
 def event_count_changelog(spark, sf_dir):
@@ -114,22 +124,24 @@ def billing_changelog(spark, sf_dir):
 
 
 def billing_customers(spark, sf_dir):
-    return billing.billing_customers(tables.billing_log(spark, sf_dir))
+    return billing.billing_customers(_billing_unordered(spark, sf_dir))
 
 
 def processing_meters(spark, sf_dir):
-    return meters.processing_meters(_all_events(spark, sf_dir))
+    return meters.processing_meters(_all_events_unordered(spark, sf_dir))
 
 
 # --- lookups ---------------------------------------------------------------------------------
 
 
 def chaser_lookup(spark, sf_dir):
-    return lookup.by_key(chaser_aggregate(spark, sf_dir), LOOKUP_CHASER)
+    events = lookup.of_key(tables.chaser_log(spark, sf_dir), LOOKUP_CHASER)
+    return _flat_chaser(chaser.chaser_aggregate(events))
 
 
 def billing_lookup(spark, sf_dir):
-    return lookup.by_key(billing_aggregate(spark, sf_dir), LOOKUP_BILL)
+    events = lookup.of_key(tables.billing_log(spark, sf_dir), LOOKUP_BILL)
+    return _flat_billing(billing.billing_aggregate(events))
 
 
 def chaser_keys(spark, sf_dir):
@@ -137,7 +149,7 @@ def chaser_keys(spark, sf_dir):
 
 
 def billing_keys(spark, sf_dir):
-    return lookup.keys(tables.billing_log(spark, sf_dir), BILLING_KINDS)
+    return lookup.keys(_billing_unordered(spark, sf_dir), BILLING_KINDS)
 
 
 def aggregate_json(spark, sf_dir):
@@ -214,7 +226,7 @@ def frame_rejects(spark, sf_dir):
 
 def schema_usage(spark, sf_dir):
     """The catalog, and how many frames of the log each schema has."""
-    frames = encode_frames(_all_events(spark, sf_dir), SCHEMA_IDS)
+    frames = encode_frames(_all_events_unordered(spark, sf_dir), SCHEMA_IDS)
     used = read_headers(frames, _catalog(spark)).groupBy("schema_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         _catalog(spark)
