@@ -216,6 +216,37 @@ def number_requests(
     return number(rows, "key", ["run"], [F.col("seq")], "position", hot_rows=hot_rows)
 
 
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """All runs of a key as one run: a summary that stands for its whole history so far."""
+    last = F.max_by(F.struct("bill_after", "failure_after", "repeated"), "first_seq").alias("last")
+    led = F.when(F.col("leads_with_failure").isNotNull(), F.col("first_seq"))
+    return (
+        settle(runs)
+        .groupBy("key")
+        .agg(
+            F.min("run").alias("run"),
+            F.min("first_seq").alias("first_seq"),
+            F.bool_or("has_request").alias("has_request"),
+            F.min("bill_low").alias("bill_low"),
+            F.max("bill_high").alias("bill_high"),
+            F.min_by("leads_with_failure", led).alias("leads_with_failure"),
+            last,
+        )
+        .select(
+            "key",
+            "run",
+            "first_seq",
+            "has_request",
+            F.col("last.bill_after").alias("bill"),
+            "bill_low",
+            "bill_high",
+            F.col("last.failure_after").alias("open_failure"),
+            F.col("last.repeated").alias("repeated"),
+            "leads_with_failure",
+        )
+    )
+
+
 def billing_records(
     runs: DataFrame, requests: DataFrame, page_size: int = PAGE_SIZE
 ) -> DataFrame:

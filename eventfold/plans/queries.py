@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from eventfold.operators import billing, chaser, counts, freshness, lookup, meters
 from eventfold.plans.replay import replay
 from eventfold.schemas import BILLING_KINDS
-from eventfold.session import prepare, scratch
+from eventfold.session import fit_shuffles, prepare, scratch
 from eventfold.sources import tables
 from eventfold.sources.catalog import SCHEMA_IDS, schema_catalog
 from eventfold.sources.envelope import read_envelopes, write_envelopes
@@ -399,6 +399,11 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable; each prepares the session it is given."""
 
     def prepared(query):
-        return lambda spark, sf_dir: query(prepare(spark), sf_dir)
+        def run(spark, sf_dir):
+            inputs = [tables.table(spark, sf_dir, n) for n in ("orders", "lineitem", "events")]
+            fit_shuffles(prepare(spark), *inputs)
+            return query(spark, sf_dir)
+
+        return run
 
     return {query.__name__: prepared(query) for query in QUERIES}

@@ -3,10 +3,14 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Input per shuffle partition, and the number beyond which bookkeeping outweighs it.
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_PARTITIONS = 50_000
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on; safe on a session made by someone else."""
@@ -16,6 +20,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fit_shuffles(spark: SparkSession, *inputs: DataFrame) -> None:
+    """Plan shuffles for the size of the inputs; adaptive execution merges small partitions.
+
+    A window or aggregation cannot split a partition that turns out too large, so there
+    must be enough of them from the start. Sizes come from file listings, not from a job.
+    """
+    size = sum(
+        int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in inputs
+    )
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, min(size // PARTITION_BYTES, MOST_PARTITIONS))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", wanted)
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     spark = (

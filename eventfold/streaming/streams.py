@@ -25,6 +25,7 @@ from eventfold.operators.billing import (
     billing_records,
     billing_runs,
     first_requests,
+    merge_runs,
     number_requests,
 )
 from eventfold.operators.chaser import chaser_records, chasers, names_seen
@@ -43,8 +44,8 @@ def stream_counts(
 
 
 def current_counts(spark: SparkSession, table: str) -> DataFrame:
-    """``count_key, n`` as of the last micro-batch; counts only grow."""
-    return read_batches(spark, table).groupBy("count_key").agg(F.max("n").alias("n"))
+    """``count_key, n`` as of the last micro-batch."""
+    return _latest_counts(read_batches(spark, table))
 
 
 def stream_chasers(
@@ -69,10 +70,8 @@ def stream_chasers(
 def current_chasers(
     spark: SparkSession, table: str, only: DataFrame | None = None, **limits
 ) -> DataFrame:
-    """The chaser records as of the last micro-batch; every column only grows."""
-    latest = [F.max(name).alias(name) for name in ("n", "last_seq", "sent", "ttl")]
-    seen = _of(read_batches(spark, table), only).groupBy("key", "name").agg(*latest)
-    return chaser_records(seen, **limits)
+    """The chaser records as of the last micro-batch."""
+    return chaser_records(_latest_names(_of(read_batches(spark, table), only)), **limits)
 
 
 def stream_billing(
@@ -108,12 +107,49 @@ def current_billing(
     return billing_records(runs, number_requests(requests, **limits), **paging)
 
 
+def compact_counts(spark: SparkSession, table: str, into: str) -> None:
+    """Write what ``table`` comes to as a new table, to go on with after a restart.
+
+    A table holds what every micro-batch changed. Compacting leaves a row per group, under
+    the last batch number, and the stopped query restarts from its checkpoint with the new
+    table; the old one stays as it is.
+    """
+    _compact(spark, table, into, _latest_counts)
+
+
+def compact_chasers(spark: SparkSession, table: str, into: str) -> None:
+    """As ``compact_counts``, leaving a row per (key, name)."""
+    _compact(spark, table, into, _latest_names)
+
+
+def compact_billing(spark: SparkSession, table: str, into: str) -> None:
+    """As ``compact_counts``, leaving a row per key and one per payment."""
+    _compact(spark, f"{table}/requests", f"{into}/requests", first_requests)
+    _compact(spark, f"{table}/runs", f"{into}/runs", merge_runs)
+
+
 def state_locations(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``key, partition_id``: where a running query keeps the state of each group."""
     state = spark.read.format("statestore").load(checkpoint)
     return state.select(F.col("key.*"), "partition_id").toDF("key", "partition_id")
 
 
+def _latest_counts(rows):
+    """Counts only grow."""
+    return rows.groupBy("count_key").agg(F.max("n").alias("n"))
+
+
+def _latest_names(rows):
+    """Every column only grows."""
+    latest = [F.max(name).alias(name) for name in ("n", "last_seq", "sent", "ttl")]
+    return rows.groupBy("key", "name").agg(*latest)
+
+
+def _compact(spark, table, into, merge):
+    rows = read_batches(spark, table)
+    write_batch(merge(rows), into, rows.agg(F.max("batch")).first()[0])
+
+
 def _touched(spark, table, batch_id):
     return read_batches(spark, table).where(F.col("batch") == batch_id).select("key").distinct()
 

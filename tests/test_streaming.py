@@ -104,6 +104,66 @@ def test_billing(spark, events):
     assert read_batches(spark, f"{table}/runs").select("batch").distinct().count() == 3
 
 
+def test_compaction_between_restarts(spark, events):
+    """Each stretch goes on from what the earlier ones were compacted into."""
+    kinds = ["counts", "chasers", "billing"]
+    checkpoints = {kind: scratch(spark, "checkpoint") for kind in kinds}
+    tables = {kind: [] for kind in kinds}
+
+    def begin(kind, stream, compact):
+        def run(s):
+            now = scratch(spark, kind)
+            if tables[kind]:
+                compact(spark, tables[kind][-1], now)
+            tables[kind].append(now)
+            return stream(s, now, checkpoints[kind])
+
+        return run
+
+    play(spark, events, begin("counts", streams.stream_counts, streams.compact_counts))
+    play(spark, events, begin("chasers", streams.stream_chasers, streams.compact_chasers))
+
+    def narrow_runs(*args):
+        return streams.stream_billing(*args, run_bits=3)
+
+    play(spark, events, begin("billing", narrow_runs, streams.compact_billing))
+    total, _ = fold.counts(events)
+    current = streams.current_counts(spark, tables["counts"][-1]).collect()
+    assert {r.count_key: r.n for r in current} == total
+    got = records(streams.current_chasers(spark, tables["chasers"][-1]), "names")
+    assert {
+        k: (names, s["count"], s["latest"], s["longest"]) for k, (names, s) in got.items()
+    } == fold.chaser_states(events)[0]
+    got = records(streams.current_billing(spark, tables["billing"][-1]), "paymentRequests")
+    assert {
+        k: (s["bill"], listed, s["lastPaymentFailed"], s["errored"]) for k, (listed, s) in got.items()
+    } == fold.billing_states(events)[0]
+
+
+def test_replayed_batch_changes_nothing(spark, events):
+    """A micro-batch that runs twice, as after a lost driver, is written once."""
+    from eventfold.operators.billing import billing_runs
+    from eventfold.streaming.sinks import write_batch
+
+    table = scratch(spark, "twice")
+    for _ in range(2):
+        write_batch(billing_runs(frame(spark, events).where("kind = 'Bill'")), table, 0)
+    assert read_batches(spark, table).groupBy("key", "run").count().where("count > 1").count() == 0
+
+
+def test_console_tap_and_observed_meters(spark, events):
+    from eventfold.operators.meters import observed
+    from eventfold.streaming.sinks import console_tap
+
+    path = scratch(spark, "log")
+    frame(spark, events).write.parquet(path)
+    stream = observed(read_events(spark, Log(path=path), streaming=True), "meters")
+    query = console_tap(stream.select("key", "kind"), scratch(spark, "checkpoint"))
+    query.awaitTermination()
+    seen = [p.observedMetrics["meters"] for p in query.recentProgress if p.observedMetrics]
+    assert sum(m.chaser_received for m in seen) == sum(e["kind"] == "Chaser" for e in events)
+
+
 def test_published_records_decode(spark, events):
     from eventfold.operators.billing import billing_aggregate
 
