@@ -7,7 +7,7 @@ position gives ``seq``. Here billing events are numbered per key by time.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.functions.ordered import MEASURE, hot_keys, number
+from eventfold.functions.ordered import HOT_ROWS, MEASURE, hot_keys, number
 from eventfold.schemas import BILL, CHASER, COLUMN_OF, INPUT_KINDS, PAYMENT_FAILED, PAYMENT_REQUEST, TYPE_OF
 
 DAY_MS = 86_400_000
@@ -72,8 +72,14 @@ def chaser_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope(rows, "seq")
 
 
-def _bills(spark, sf_dir):
-    """One bill per order, and a second one when it was reissued."""
+# What numbers a billing event within its key, in this order.
+BILLING_ORDER = ["at", "rank", "line", "part", "supp"]
+# The rank of each kind among events of the same time.
+BILLING_RANK = {"Bill": 0, "PaymentRequest": 1, "PaymentFailed": 2}
+
+
+def _bill_rows(spark, sf_dir):
+    """One row per bill: every order has one, a reissued order a second."""
     placed = epoch_ms("o_orderdate")
     amount = cents("o_totalprice")
 
@@ -82,92 +88,107 @@ def _bills(spark, sf_dir):
 
     first = issue(placed, 0, amount)
     again = issue(placed + 45 * DAY_MS, 1, amount + F.col("o_orderkey") % 2)
+    issued = F.when(F.col("o_orderstatus") == "P", F.array(first, again)).otherwise(F.array(first))
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 9")
-    issued = orders.select(
-        "*",
-        F.explode(
-            F.when(F.col("o_orderstatus") == "P", F.array(first, again)).otherwise(F.array(first))
-        ).alias("issued"),
-    )
-    bill = _struct(
-        BILL,
-        billId=_text("BILL-", "o_orderkey"),
-        customerId=_text("CUST-", "o_custkey"),
-        orderId=_text("ORD-", "o_orderkey"),
-        amountCents=F.col("issued.amount"),
-        currency=F.lit("USD"),
-        issuedAt=placed,
-        dueDate=placed + 30 * DAY_MS,
-    )
-    return issued.select(
+    return orders.select("*", F.explode(issued).alias("issued")).select(
         _text("BILL-", "o_orderkey").alias("key"),
         "issued.at",
-        F.lit(0).alias("rank"),
+        F.lit(BILLING_RANK["Bill"]).alias("rank"),
         "issued.line",
         F.lit(0).cast("long").alias("part"),
         F.lit(0).cast("long").alias("supp"),
-        F.lit("Bill").alias("kind"),
-        bill.alias("bill"),
+        F.col("o_orderkey").alias("orderkey"),
+        F.col("o_custkey").alias("custkey"),
+        "issued.amount",
+        placed.alias("placed"),
+        F.lit(None).cast("string").alias("status"),
     )
 
 
-def _payments(spark, sf_dir):
-    """One payment request or failure per line, with the customer of its order."""
+def _payment_rows(spark, sf_dir):
+    """One row per line, a payment request or a failure, with the customer of its order."""
     # one row per order, and known to be so: Catalyst drops the join where no customer is read
     customers = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderkey").alias("l_orderkey"))
         .agg(F.max("o_custkey").alias("custkey"))
-        .select("l_orderkey", _text("CUST-", "custkey").alias("customer"))
     )
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag IS NOT NULL")
-    failed = F.col("l_returnflag") == "R"
-    at = epoch_ms("l_shipdate")
-    common = {
-        "paymentId": _text("PAY-", "l_orderkey", "l_linenumber"),
-        "billId": _text("BILL-", "l_orderkey"),
-        "customerId": F.coalesce("customer", F.lit("unknown")),
+    rank = F.when(F.col("l_returnflag") == "R", BILLING_RANK["PaymentFailed"]).otherwise(
+        BILLING_RANK["PaymentRequest"]
+    )
+    return lines.join(customers, "l_orderkey", "left").select(
+        _text("BILL-", "l_orderkey").alias("key"),
+        epoch_ms("l_shipdate").alias("at"),
+        rank.alias("rank"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        F.col("l_orderkey").alias("orderkey"),
+        "custkey",
+        cents("l_extendedprice").alias("amount"),
+        F.lit(None).cast("long").alias("placed"),
+        F.col("l_linestatus").alias("status"),
+    )
+
+
+def _billing_structs() -> dict[str, Column]:
+    """Kind and records of a billing row; made after the shuffle, which carries plain columns."""
+    is_kind = {kind: F.col("rank") == rank for kind, rank in BILLING_RANK.items()}
+    customer = F.coalesce(_text("CUST-", "custkey"), F.lit("unknown"))
+    payment = {
+        "paymentId": _text("PAY-", "orderkey", "line"),
+        "billId": F.col("key"),
+        "customerId": customer,
     }
+    bill = _struct(
+        BILL,
+        billId=F.col("key"),
+        customerId=customer,
+        orderId=_text("ORD-", "orderkey"),
+        amountCents=F.col("amount"),
+        currency=F.lit("USD"),
+        issuedAt=F.col("placed"),
+        dueDate=F.col("placed") + 30 * DAY_MS,
+    )
     request = _struct(
         PAYMENT_REQUEST,
-        amountCents=cents("l_extendedprice"),
+        amountCents=F.col("amount"),
         currency=F.lit("USD"),
-        requestedAt=at,
-        **common,
+        requestedAt=F.col("at"),
+        **payment,
     )
     failure = _struct(
         PAYMENT_FAILED,
-        failureReason=F.when(F.col("l_linestatus") == "F", "NSF").otherwise("DECLINED"),
-        failedAt=at,
-        **common,
-    )
-    return lines.join(customers, "l_orderkey", "left").select(
-        _text("BILL-", "l_orderkey").alias("key"),
-        at.alias("at"),
-        F.when(failed, 2).otherwise(1).alias("rank"),
-        F.col("l_linenumber").alias("line"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supp"),
-        F.when(failed, "PaymentFailed").otherwise("PaymentRequest").alias("kind"),
-        F.when(~failed, request).alias("payment_request"),
-        F.when(failed, failure).alias("payment_failed"),
+        failureReason=F.when(F.col("status") == "F", "NSF").otherwise("DECLINED"),
+        failedAt=F.col("at"),
+        **payment,
     )
+    kind = F.when(is_kind["Bill"], "Bill").when(is_kind["PaymentRequest"], "PaymentRequest")
+    return {
+        "kind": kind.otherwise("PaymentFailed"),
+        "bill": F.when(is_kind["Bill"], bill),
+        "payment_request": F.when(is_kind["PaymentRequest"], request),
+        "payment_failed": F.when(is_kind["PaymentFailed"], failure),
+    }
 
 
-def _billing_keys(spark, sf_dir):
-    """The key of every billing event, read from the key columns alone."""
+def _billing_orders(spark, sf_dir):
+    """The order key of every billing event, read from the key columns alone."""
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 9")
     again = orders.where("o_orderstatus = 'P'")
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag IS NOT NULL")
-    order_keys = orders.select("o_orderkey").union(again.select("o_orderkey")).union(
-        lines.select("l_orderkey")
+    return (
+        orders.select(F.col("o_orderkey").alias("orderkey"))
+        .union(again.select("o_orderkey"))
+        .union(lines.select("l_orderkey"))
     )
-    return order_keys.select(_text("BILL-", "o_orderkey").alias("key"))
 
 
-def hot_bills(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+def hot_bills(spark: SparkSession, sf_dir: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Hot keys of ``billing_log``, for the ``hot`` argument of the billing operators."""
-    return hot_keys(_billing_keys(spark, sf_dir))
+    hot = hot_keys(_billing_orders(spark, sf_dir), "orderkey", hot_rows)
+    return hot and hot.select(_text("BILL-", "orderkey").alias("key"))
 
 
 def billing_log(
@@ -177,11 +198,9 @@ def billing_log(
     keep_time: bool = False,
 ) -> DataFrame:
     """``orders`` as bills, ``lineitem`` as payment requests and failures, keyed by order."""
-    keep = ["at", "rank", "line", "part", "supp"]
-    rows = _envelope(_bills(spark, sf_dir), *keep).unionByName(
-        _envelope(_payments(spark, sf_dir), *keep)
-    )
+    rows = _bill_rows(spark, sf_dir).unionByName(_payment_rows(spark, sf_dir))
     hot = hot_bills(spark, sf_dir) if isinstance(hot, str) else hot
-    order = [F.col(name) for name in keep]
+    order = [F.col(name) for name in BILLING_ORDER]
     numbered = number(rows, "key", ["at", "rank", "line"], order, "seq", hot)
-    return numbered.drop(*(keep[1:] if keep_time else keep))
+    keep = ["seq", "at"] if keep_time else ["seq"]
+    return _envelope(numbered.withColumns(_billing_structs()), *keep)

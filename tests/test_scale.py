@@ -118,7 +118,7 @@ def test_numbering_in_runs(spark):
 
 def test_table_log_numbers_hot_keys_alike(spark, tiny):
     plain = tables.billing_log(spark, tiny, hot=None)
-    hot = hot_keys(tables._billing_keys(spark, tiny), hot_rows=6)
+    hot = tables.hot_bills(spark, tiny, hot_rows=6)
     assert hot.count() > 100
     runs = tables.billing_log(spark, tiny, hot=hot)
     assert plain.exceptAll(runs).count() == 0 and runs.exceptAll(plain).count() == 0
