@@ -54,19 +54,25 @@ def billing_customers(events: DataFrame) -> DataFrame:
     )
 
 
-def _after_failure(window) -> Column:
-    """Whether the request or failure before the current row is a failure."""
+def _steps(in_order) -> dict[str, Column]:
+    """Whether the request or failure before a row is a failure, and the last request of all."""
     step = F.when(F.expr(f"{IS_REQUEST} OR {IS_FAILURE}"), F.col("kind"))
-    previous = F.last(step, ignorenulls=True).over(before(window))
-    return F.coalesce(previous == "PaymentFailed", F.lit(False))
+    previous = F.last(step, ignorenulls=True).over(before(in_order))
+    request_seq = F.when(F.expr(IS_REQUEST), F.col("seq"))
+    return {
+        "after_failure": F.coalesce(previous == "PaymentFailed", F.lit(False)),
+        "last_request": F.max(request_seq).over(whole(in_order)),
+    }
 
 
 def _summary() -> list[Column]:
     """What the rows of a key, or of one run of it, come to.
 
-    Needs ``after_failure`` and ``last_request`` (over the same rows) beside the event.
+    Needs the columns of ``_steps`` over the same rows beside the event.
     """
-    opening = F.expr(f"{IS_FAILURE} AND NOT after_failure AND (last_request IS NULL OR seq > last_request)")
+    opening = F.expr(
+        f"{IS_FAILURE} AND NOT after_failure AND (last_request IS NULL OR seq > last_request)"
+    )
     step_seq = F.when(F.expr(f"{IS_REQUEST} OR {IS_FAILURE}"), F.col("seq"))
     return [
         F.max_by("bill", F.when(F.expr(IS_BILL), F.col("seq"))).alias("bill"),
@@ -116,8 +122,7 @@ def _ordinary_records(rows: DataFrame, page_size: int) -> DataFrame:
         .withColumn("new", F.expr(IS_REQUEST) & (F.row_number().over(by_payment) == 1))
         .withColumns(
             {
-                "after_failure": _after_failure(in_order),
-                "last_request": F.max(F.when(F.expr(IS_REQUEST), F.col("seq"))).over(whole(in_order)),
+                **_steps(in_order),
                 "position": F.sum(new).over(upto(in_order)),
                 "payment_count": F.sum(new).over(whole(in_order)),
             }
@@ -149,12 +154,7 @@ def billing_runs(rows: DataFrame, run_bits: int = RUN_BITS) -> DataFrame:
     return (
         rows.drop("payment_request")
         .withColumn("run", run_of("seq", run_bits))
-        .withColumns(
-            {
-                "after_failure": _after_failure(in_order),
-                "last_request": F.max(F.when(F.expr(IS_REQUEST), F.col("seq"))).over(whole(in_order)),
-            }
-        )
+        .withColumns(_steps(in_order))
         .groupBy("key", "run")
         .agg(
             F.min("seq").alias("first_seq"),
@@ -209,11 +209,11 @@ def settle(runs: DataFrame) -> DataFrame:
 
 
 def number_requests(
-    requests: DataFrame, hot_rows: int = HOT_ROWS, run_bits: int = RUN_BITS
+    requests: DataFrame, hot: DataFrame | str | None = MEASURE, run_bits: int = RUN_BITS
 ) -> DataFrame:
     """Add the list ``position`` of each of the ``first_requests``."""
     rows = requests.withColumn("run", run_of("seq", run_bits))
-    return number(rows, "key", ["run"], [F.col("seq")], "position", hot_rows=hot_rows)
+    return number(rows, "key", ["run"], [F.col("seq")], "position", hot)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:

@@ -46,9 +46,14 @@ def read_events(spark: SparkSession, log: Log, streaming: bool = False) -> DataF
         .options(**log.options)
         .load()
     )
+    return from_topic(records, log)
+
+
+def from_topic(records: DataFrame, log: Log) -> DataFrame:
+    """Events of ``key, value, offset, partition`` records."""
     frames = records.select(
         F.col("key").cast("string").alias("key"),
         (F.col("offset") * log.partitions + F.col("partition")).alias("seq"),
         "value",
     )
-    return decode_frames(frames, schema_catalog(spark, log.topic), INPUT_KINDS)
+    return decode_frames(frames, schema_catalog(records.sparkSession, log.topic), INPUT_KINDS)

@@ -33,22 +33,25 @@ def aggregate_frames(records: DataFrame, kind: str, ids: dict[str, int]) -> Data
     return encode_frames(rows, ids).withColumnRenamed("seq", "page")
 
 
+def topic_rows(records: DataFrame, kind: str, ids: dict[str, int]) -> DataFrame:
+    """Aggregate records as the Kafka sink takes them, the list page in a header."""
+    page = F.struct(
+        F.lit("page").alias("key"), F.col("page").cast("string").cast("binary").alias("value")
+    )
+    return aggregate_frames(records, kind, ids).select(
+        "key", "value", F.array(page).alias("headers")
+    )
+
+
 def topic_publisher(topic: str, kind: str, ids: dict[str, int], options: dict):
-    """Send changed records to a topic, keyed by string, the list page in a header.
+    """Send changed records to a topic, keyed by string.
 
-    The Kafka sink delivers at least once; readers keep the last value of a key.
+    The Kafka sink delivers at least once; readers keep the last value of a key and page.
     """
 
     def publish(records: DataFrame, batch_id: int) -> None:
-        page = F.struct(F.lit("page").alias("key"), F.col("page").cast("string").cast("binary").alias("value"))
-        (
-            aggregate_frames(records, kind, ids)
-            .select("key", "value", F.array(page).alias("headers"))
-            .write.format("kafka")
-            .option("topic", topic)
-            .options(**options)
-            .save()
-        )
+        writer = topic_rows(records, kind, ids).write.format("kafka")
+        writer.option("topic", topic).options(**options).save()
 
     return publish
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventfold.functions.ordered import RUN_BITS
+from eventfold.functions.ordered import HOT_ROWS, PAGE_SIZE, RUN_BITS, hot_keys
 from eventfold.operators.billing import (
     billing_events,
     billing_records,
@@ -68,10 +68,16 @@ def stream_chasers(
 
 
 def current_chasers(
-    spark: SparkSession, table: str, only: DataFrame | None = None, **limits
+    spark: SparkSession,
+    table: str,
+    only: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    **limits,
 ) -> DataFrame:
     """The chaser records as of the last micro-batch."""
-    return chaser_records(_latest_names(_of(read_batches(spark, table), only)), **limits)
+    rows = _of(read_batches(spark, table), only)
+    # the rows of a key bound its names
+    return chaser_records(_latest_names(rows), hot_keys(rows, "key", hot_rows), **limits)
 
 
 def stream_billing(
@@ -98,13 +104,19 @@ def stream_billing(
 
 
 def current_billing(
-    spark: SparkSession, table: str, only: DataFrame | None = None, page_size=None, **limits
+    spark: SparkSession,
+    table: str,
+    only: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    run_bits: int = RUN_BITS,
+    page_size: int = PAGE_SIZE,
 ) -> DataFrame:
     """The billing records as of the last micro-batch."""
     runs = _of(read_batches(spark, f"{table}/runs"), only)
-    requests = first_requests(_of(read_batches(spark, f"{table}/requests"), only))
-    paging = {} if page_size is None else {"page_size": page_size}
-    return billing_records(runs, number_requests(requests, **limits), **paging)
+    rows = _of(read_batches(spark, f"{table}/requests"), only)
+    # the rows of a key bound its payments
+    requests = number_requests(first_requests(rows), hot_keys(rows, "key", hot_rows), run_bits)
+    return billing_records(runs, requests, page_size)
 
 
 def compact_counts(spark: SparkSession, table: str, into: str) -> None:

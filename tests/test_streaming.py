@@ -12,8 +12,8 @@ from eventfold.plans.replay import replay
 from eventfold.schemas import EVENT
 from eventfold.session import scratch
 from eventfold.sources.catalog import SCHEMA_IDS, schema_catalog
-from eventfold.sources.frames import decode_frames, good
-from eventfold.sources.log import Log, read_events
+from eventfold.sources.frames import decode_frames, encode_frames, good
+from eventfold.sources.log import Log, from_topic, read_events
 from eventfold.streaming import streams
 from eventfold.streaming.sinks import aggregate_frames, read_batches
 
@@ -178,6 +178,37 @@ def test_published_records_decode(spark, events):
     } == expected
 
 
+def test_topic_rows_fit_the_sink(spark, events):
+    from eventfold.operators.chaser import chaser_aggregate
+    from eventfold.streaming.sinks import topic_rows
+
+    rows = topic_rows(chaser_aggregate(frame(spark, events)), "Aggregate", SCHEMA_IDS)
+    assert [f.dataType.simpleString() for f in rows.schema] == [
+        "string", "binary", "array<struct<key:string,value:binary>>",
+    ]
+    assert {bytes(r.headers[0].value) for r in rows.collect()} == {b"0"}
+
+
+def test_a_topic_is_folded_frame_by_frame(spark, events):
+    """Topic records on disk, streamed: decode, drop what is damaged, count."""
+    encoded = encode_frames(frame(spark, events), SCHEMA_IDS)
+    records = encoded.select(
+        F.col("key").cast("binary").alias("key"),
+        F.when(F.col("seq") % 10 == 0, F.unhex(F.lit("07"))).otherwise(F.col("value")).alias("value"),
+        F.col("seq").alias("offset"),
+        F.lit(2).alias("partition"),
+    )
+    path, table = scratch(spark, "topic"), scratch(spark, "counts")
+    records.write.parquet(path)
+    log = Log(format="kafka", topic="input", partitions=3)
+    stream = from_topic(spark.readStream.schema(records.schema).parquet(path), log)
+    streams.stream_counts(good(stream), table, scratch(spark, "checkpoint")).awaitTermination()
+    total, _ = fold.counts([e for e in events if e["seq"] % 10])
+    assert {r.count_key: r.n for r in streams.current_counts(spark, table).collect()} == total
+    seqs = {r.seq for r in from_topic(spark.read.parquet(path), log).select("seq").collect()}
+    assert seqs == {e["seq"] * 3 + 2 for e in events}
+
+
 def test_log_sources(spark, events):
     path = scratch(spark, "log")
     frame(spark, events).write.parquet(path)
