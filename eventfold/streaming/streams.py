@@ -92,9 +92,11 @@ def stream_billing(
 
     def each(rows, i):
         rows = rows.persist()
-        write_batch(first_requests(rows), f"{table}/requests", i)
-        write_batch(billing_runs(rows, run_bits), f"{table}/runs", i)
-        rows.unpersist()
+        try:
+            write_batch(first_requests(rows), f"{table}/requests", i)
+            write_batch(billing_runs(rows, run_bits), f"{table}/runs", i)
+        finally:
+            rows.unpersist()
         if publish:
             spark = rows.sparkSession
             publish(current_billing(spark, table, _touched(spark, f"{table}/runs", i)), i)
