@@ -279,14 +279,14 @@ def billing_records(
         .groupBy("key", page_of("position", page_size).alias("page"))
         .agg(_list_page())
     )
-    return state.join(pages, ["key", "page"], "full").select(
-        "key",
-        "page",
-        "bill",
-        F.coalesce("paymentRequests", F.array()).alias("paymentRequests"),
-        "paymentCount",
-        "lastPaymentFailed",
-        "errored",
+    # only first pages meet the state of their key: the others of a hot key stay spread out
+    first = pages.where("page = 0").drop("page")
+    records = state.join(first, "key", "left").withColumn(
+        "paymentRequests", F.coalesce("paymentRequests", F.array())
+    )
+    further = pages.where("page > 0")
+    return records.unionByName(further, allowMissingColumns=True).select(
+        "key", "page", "bill", "paymentRequests", "paymentCount", "lastPaymentFailed", "errored"
     )
 
 
