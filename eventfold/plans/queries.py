@@ -154,7 +154,10 @@ def billing_keys(spark, sf_dir):
 
 def aggregate_json(spark, sf_dir):
     """The JSON records, read back."""
-    schema = "bill struct<amountCents: bigint>, paymentRequests array<struct<paymentId: string>>, errored boolean"
+    schema = (
+        "bill struct<amountCents: bigint>, paymentRequests array<struct<paymentId: string>>, "
+        "errored boolean"
+    )
     read = lookup.as_json(_billing(spark, sf_dir)).withColumn("read", F.from_json("json", schema))
     return read.select(
         "key",

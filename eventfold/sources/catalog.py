@@ -3,7 +3,6 @@
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventfold.schemas import NULLABLE, RECORDS, TYPE_OF, full_name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventfold.functions.ordered import hot_keys, number_in_runs, run_of
 from eventfold.operators import billing, counts
 from eventfold.operators import chaser as chasers
-from eventfold.session import scratch
+from eventfold.session import fit_shuffles, scratch
 from eventfold.sources import tables
 from eventfold.sources.log import Log, read_events
 
@@ -63,7 +63,8 @@ def test_shuffles_of_ordinary_keys(log, fold, shuffles):
 
 def test_scans_read_what_they_need(log):
     plan = plan_of(chasers.chaser_aggregate(log))
-    assert "ReadSchema: struct<key:string,seq:bigint,kind:string,chaser:struct<name:string,sent:bigint,ttl:bigint>>" in plan
+    chaser_fields = "chaser:struct<name:string,sent:bigint,ttl:bigint>"
+    assert f"ReadSchema: struct<key:string,seq:bigint,kind:string,{chaser_fields}>" in plan
     assert "EqualTo(kind,Chaser)" in plan
 
 
@@ -73,6 +74,35 @@ def test_lookup_reaches_the_scan(log):
     assert "EqualTo(key,k1)" in plan_of(of_key(billing.billing_aggregate(log, hot=None), "k1"))
 
 
+def below(lines, i):
+    """The operators below line ``i`` of a plan."""
+    depth = re.search(r"\w|\*", lines[i]).start()
+    for line in lines[i + 1 :]:
+        if re.search(r"\w|\*", line).start() <= depth:
+            return
+        yield line
+
+
+@pytest.mark.parametrize("fold", [billing.billing_aggregate, chasers.chaser_aggregate])
+def test_lists_of_hot_keys_are_not_shuffled_by_key(log, fold):
+    """Pages are gathered by (key, page) and stay there; at most first pages go to their state."""
+    plan = plan_of(fold(log, hot_rows=1000, run_bits=6, page_size=50))
+    lines = [line for line in plan.splitlines() if re.search(r"\w", line)]
+    by_key = [i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(key#\d+, \d", line)]
+    assert by_key and "LeftSemi" in plan
+    for i in by_key:
+        under = list(below(lines, i))
+        if any("collect_list" in line for line in under):
+            assert any(re.search(r"Filter .*FLOOR.* = 0\)", line) for line in under)
+
+
+def test_shuffles_fit_the_input(spark, log):
+    fit_shuffles(spark, log)
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.unset(name)
+
+
 def test_hot_keys(log):
     assert [r.key for r in hot_keys(log, hot_rows=1000).collect()] == ["hot"]
     assert hot_keys(log, hot_rows=10**6) is None
