@@ -7,9 +7,9 @@ rows, whatever the skew. What a run needs to know of the runs before it is carri
 in from a per-run summary, which is tiny next to the rows.
 
 Hot keys are measured before the plan is made, by a key-only count (partial
-aggregation, no payload). Their list is broadcast: every entry stands for more than
-``HOT_ROWS`` rows, so it holds at most rows / HOT_ROWS keys, a million for 10**12
-rows. If there are none, the plan has no hot branch at all.
+aggregation, no payload). Every entry of their list stands for more than ``HOT_ROWS``
+rows, so it holds at most rows / HOT_ROWS keys; its size is checked before it is
+broadcast. If there are none, the plan has no hot branch at all.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 RUN_BITS = 17
 PAGE_SIZE = 10_000
+BROADCAST_KEYS = 1_000_000
 
 
 # Default of the ``hot`` arguments: measure the hot keys of the events given.
@@ -25,9 +26,16 @@ MEASURE = "measure"
 
 
 def hot_keys(rows: DataFrame, key: str = "key", hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None if there are none. Runs the count."""
+    """Keys with more than ``hot_rows`` rows, or None if there are none. Runs the count.
+
+    The list is marked for broadcast if it has at most ``BROADCAST_KEYS`` keys. A longer one
+    is left to Spark, which can split the hot side of a semi or anti join.
+    """
     hot = rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-    return None if hot.isEmpty() else hot
+    found = hot.count()
+    if found == 0:
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_KEYS else hot
 
 
 def split(
@@ -38,7 +46,6 @@ def split(
         hot = hot_keys(rows, key, hot_rows)
     if hot is None:
         return rows, None
-    hot = F.broadcast(hot)
     return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
 
 

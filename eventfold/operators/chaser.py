@@ -95,13 +95,14 @@ def _hot_pages(seen, page_size, run_bits):
         "key", "name", "last_seq", run_of(-F.col("last_seq"), run_bits).alias("run")
     )
     totals = seen.groupBy("key").agg(*[total.alias(name) for name, total in _totals().items()])
-    return (
+    pages = (
         number_in_runs(names, ["key"], ["run"], [F.col("last_seq").desc()], "position")
         .groupBy("key", page_of("position", page_size).alias("page"))
         .agg(_list_page())
-        # one row per hot key: as bounded as the list of hot keys itself
-        .join(F.broadcast(totals), "key")
     )
+    # only first pages meet the totals of their key: the others stay spread out
+    first = pages.where("page = 0").join(totals, "key")
+    return first.unionByName(pages.where("page > 0"), allowMissingColumns=True)
 
 
 def chaser_aggregate(

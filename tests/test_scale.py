@@ -108,6 +108,15 @@ def test_hot_keys(log):
     assert hot_keys(log, hot_rows=10**6) is None
 
 
+def test_long_lists_of_hot_keys_are_not_broadcast(log, monkeypatch):
+    def hints():
+        return hot_keys(log, hot_rows=10)._jdf.queryExecution().logical().toString().count("broadcast")
+
+    assert hints() == 1
+    monkeypatch.setattr("eventfold.functions.ordered.BROADCAST_KEYS", 5)
+    assert hints() == 0
+
+
 def test_runs_are_bounded(log):
     """The rows of a hot key meet in groups of at most one run."""
     rows = billing.billing_events(log)
