@@ -5,10 +5,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from eventfold.llm import chat, decontamination
 from eventfold.llm.common import table
+from eventfold.llm.sharding import sharded
 from eventfold.llm.token_counts import token_counts
 from eventfold.session import prepare
 
+SHARDS = 24
+
 
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,9 +21,27 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.flat(chat.dialogues(table(prepare(spark), sf_dir, "conversations")))
+
+
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(prepare(spark), sf_dir, t) for t in ("documents", "benchmark"))
+    return decontamination.contamination(docs, items).drop("kth")
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(prepare(spark), sf_dir, "documents"), SHARDS).drop("number")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": _op1}
+    return {
+        "op1_token_counts": _op1,
+        "op4_chat_perspectives": _op4,
+        "op6_decontamination": _op6,
+        "op7_sharding": _op7,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_perspectives": chat.ORACLE, "op6_decontamination": decontamination.ORACLE}
