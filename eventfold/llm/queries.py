@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventfold.llm import chat, decontamination
 from eventfold.llm.common import table
+from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.sharding import sharded
 from eventfold.llm.token_counts import token_counts
 from eventfold.session import prepare
@@ -34,12 +35,17 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(prepare(spark), sf_dir, "documents"), SHARDS).drop("number")
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(prepare(spark), sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": _op1,
         "op4_chat_perspectives": _op4,
         "op6_decontamination": _op6,
         "op7_sharding": _op7,
+        "op9_fingerprints": _op9,
     }
 
 
