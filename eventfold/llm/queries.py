@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventfold.llm import chat, decontamination
 from eventfold.llm.common import table
 from eventfold.llm.fingerprints import fingerprints
+from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
 from eventfold.llm.token_counts import token_counts
 from eventfold.session import prepare
@@ -22,6 +23,10 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(table(prepare(spark), sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat(chat.dialogues(table(prepare(spark), sf_dir, "conversations")))
 
@@ -42,6 +47,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": _op1,
+        "op2_language_id": _op2,
         "op4_chat_perspectives": _op4,
         "op6_decontamination": _op6,
         "op7_sharding": _op7,
