@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventfold.llm import chat, decontamination
+from eventfold.llm import bpe, chat, decontamination
 from eventfold.llm.common import table
 from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.language import language_ids
@@ -27,6 +28,17 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(table(prepare(spark), sf_dir, "documents"))
 
 
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(prepare(spark), sf_dir, "documents")
+    return bpe.encoded(docs, path, public_tokenizers.PATTERN).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat(chat.dialogues(table(prepare(spark), sf_dir, "conversations")))
 
@@ -48,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": _op1,
         "op2_language_id": _op2,
+        "op3_byte_bpe": _op3,
         "op4_chat_perspectives": _op4,
         "op6_decontamination": _op6,
         "op7_sharding": _op7,
