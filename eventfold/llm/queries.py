@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventfold.llm import bpe, chat, decontamination
 from eventfold.llm.common import table
+from eventfold.llm.extraction import main_texts
 from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
@@ -43,6 +44,10 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat(chat.dialogues(table(prepare(spark), sf_dir, "conversations")))
 
 
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(prepare(spark), sf_dir, "pages"))
+
+
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (table(prepare(spark), sf_dir, t) for t in ("documents", "benchmark"))
     return decontamination.contamination(docs, items).drop("kth")
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": _op2,
         "op3_byte_bpe": _op3,
         "op4_chat_perspectives": _op4,
+        "op5_main_text": _op5,
         "op6_decontamination": _op6,
         "op7_sharding": _op7,
         "op9_fingerprints": _op9,
