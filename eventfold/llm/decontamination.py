@@ -162,7 +162,9 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         doc, item = _side("dwords", p, reach, span), _side("words", q, reach, span)
         sides = near.select(
             "doc_id", "kth", "p", "item_id", "span", n.alias("n_words"), own.alias("own"),
-            F.when(~own, F.struct(*(c.alias(f"c{i}") for i, c in enumerate((*doc, *item))))).alias("s"),
+            # a generator, as no filter of what follows may move below it: there, it would take
+            # the loop over the positions apart and copy the words beside each of them
+            F.explode(F.array(F.when(~own, F.struct(*(c.alias(f"c{i}") for i, c in enumerate((*doc, *item))))))).alias("s"),
         )
         before, after = _agreeing(F.col("s.c0"), F.col("s.c2")), _agreeing(F.col("s.c1"), F.col("s.c3"))
         agree = sides.select(
