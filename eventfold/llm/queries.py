@@ -10,6 +10,7 @@ from eventfold.llm import bpe, chat, decontamination
 from eventfold.llm.common import table
 from eventfold.llm.extraction import main_texts
 from eventfold.llm.fingerprints import fingerprints
+from eventfold.llm.jaccard import linked
 from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
 from eventfold.llm.token_counts import token_counts
@@ -57,6 +58,11 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(prepare(spark), sf_dir, "documents"), SHARDS).drop("number")
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return linked(docs, words=4, percent=85).drop("kid", "kth")
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(prepare(spark), sf_dir, "documents"))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_main_text": _op5,
         "op6_decontamination": _op6,
         "op7_sharding": _op7,
+        "op8_jaccard_join": _op8,
         "op9_fingerprints": _op9,
     }
 
