@@ -13,6 +13,7 @@ from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.jaccard import linked
 from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
+from eventfold.llm.suffixes import without_repeats
 from eventfold.llm.token_counts import token_counts
 from eventfold.session import prepare
 
@@ -67,6 +68,18 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(prepare(spark), sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["e"] - s["b"])
+    return without_repeats(docs, length=400).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": _op1,
@@ -78,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": _op7,
         "op8_jaccard_join": _op8,
         "op9_fingerprints": _op9,
+        "op10_suffix_dedup": _op10,
     }
 
 
