@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import kept_table, row_key, whole
+from eventfold.llm.common import NO_ID, kept_table, row_key, whole
 from eventfold.llm.components import components
 from eventfold.llm.fingerprints import WordHashes, shingle_hashes
 
@@ -305,7 +305,10 @@ def open_groups(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame
 
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, kid, kth, n_shingles, component_id`` of each row of ``docs`` (doc_id, text)."""
+    """``doc_id, n_shingles, component_id`` of each row of ``docs`` (doc_id, text).
+
+    Further columns: the row's key, and the component as a value of its own (``label``).
+    """
     spark = docs.sparkSession
     looked = sizes_and_counts(docs, words)
     sizes, counts = looked.where("cls IS NOT NULL"), looked.where("cls IS NULL")
@@ -325,7 +328,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         groups = components(links)
     placed = sizes.withColumn("node", _node()).join(groups, "node", "left")
     placed = placed.select(
-        F.when(F.col("kid") != F.lit(-(2**63)), F.col("kid")).alias("doc_id"),
+        F.when(F.col("kid") != NO_ID, F.col("kid")).alias("doc_id"),
         "kid",
         "kth",
         F.col("n").cast("long").alias("n_shingles"),
@@ -340,4 +343,22 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .alias("component_id"),
         "kid",
         "kth",
+        "label",
+    )
+
+
+def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: that of the least id.
+
+    Rows without shingles all stay.
+    """
+    found = linked(docs, words, percent).select("kid", "kth", "label").distinct()
+    least = F.min(F.struct((F.col("kid") == NO_ID).alias("none"), "kid", "kth")).alias("k")
+    first = found.where("label IS NOT NULL").groupBy("label").agg(least)
+    stay = first.select("k.kid", "k.kth", F.lit(True).alias("linked")).unionAll(
+        found.where("label IS NULL").select("kid", "kth", F.lit(False))
     )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
+    copy = F.row_number().over(Window.partitionBy("kid", "kth").orderBy(F.lit(0)))
+    kept = rows.join(stay, ["kid", "kth"]).withColumn("copy", copy)
+    return kept.where("copy = 1 OR NOT linked").select("row.*")

@@ -179,19 +179,20 @@ def learn(docs: DataFrame) -> Model | None:
     return calibrated(x[kept], y[kept], languages, trained(x[rest], y[rest], len(languages)))
 
 
-def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, rejected`` of each row, and the columns ``keep``."""
-    keep = keep or []
+def identified(docs: DataFrame, model: Model | None, with_row: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, rejected`` of each row of ``docs`` (doc_id, text).
+
+    ``with_row`` adds the whole row as a struct, ``row``, apart from any name of these.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
+            texts = batch.column("row").field("text") if with_row else batch.column("_text")
             found = [
-                known.predict(text) if has and known else (UNKNOWN, 0.0)
-                for text, has in zip(
-                    batch.column("_text").to_pylist(), batch.column("_letter").to_pylist()
-                )
+                known.predict(text or "") if has and known else (UNKNOWN, 0.0)
+                for text, has in zip(texts.to_pylist(), batch.column("_letter").to_pylist())
             ]
             names = [n for n in batch.schema.names if n not in ("_text", "_letter")]
             values = [batch.column(n) for n in names]
@@ -200,14 +201,12 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = No
             values += [
                 pa.array([f[0] == UNKNOWN or f[1] < known.least for f in found], pa.bool_())
             ]
-            names += ["lang_pred", "score", "rejected"]
-            yield pa.RecordBatch.from_arrays(values, names)
+            yield pa.RecordBatch.from_arrays(values, [*names, "lang_pred", "score", "rejected"])
 
     rows = docs.select(
-        *keep,
-        *([] if "doc_id" in keep else ["doc_id"]),
+        "doc_id",
         F.coalesce(_fold("doc_id") == 1, F.lit(False)).alias("held_out"),
-        whole().alias("_text"),
+        F.struct(*docs.columns).alias("row") if with_row else whole().alias("_text"),
         whole().rlike(r"\p{L}").alias("_letter"),
     )
     schema = rows.drop("_text", "_letter").schema
@@ -215,6 +214,6 @@ def identified(docs: DataFrame, model: Model | None, keep: list[str] | None = No
     return rows.mapInArrow(predict, schema)
 
 
-def language_ids(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def language_ids(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """Learn from the table and predict all of it."""
-    return identified(docs, learn(docs), keep)
+    return identified(docs, learn(docs), with_row)

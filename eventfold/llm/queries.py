@@ -61,7 +61,7 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
-    return linked(docs, words=4, percent=85).drop("kid", "kth")
+    return linked(docs, words=4, percent=85).drop("kid", "kth", "label")
 
 
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import bisect
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -402,23 +403,25 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(
-    docs: DataFrame, length: int, keep: list[str] | None = None, hot_from: int = HOT
+    docs: DataFrame, length: int, with_row: bool = False, hot_from: int = HOT
 ) -> DataFrame:
-    """``doc_id, n_bytes, spans, kept`` of each row of ``docs``, and the columns ``keep``.
+    """``doc_id, n_bytes, spans, kept`` of each row of ``docs`` (doc_id, text).
 
     ``spans`` are the removed runs of bytes (``b`` to ``e``), ``kept`` the bytes that remain.
+    ``with_row`` adds the row's other columns as a struct, ``row``.
     """
-    names = ["doc_id", *(c for c in keep or [] if c not in ("doc_id", "text"))]
     found = repeated_spans(docs, length, hot_from).groupBy("kid", "kth")
-    found = found.agg(F.collect_list(F.struct("b", "e")).alias("_found"))
-    rows = docs.select(*names, *row_key(), whole().alias("_text"))
-    joined = rows.join(found, ["kid", "kth"], "left").select(*names, "_text", "_found")
+    found = found.agg(F.collect_list(F.struct("b", "e")).alias("found"))
+    names = ["doc_id", *(["row"] if with_row else [])]
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    rows = docs.select("doc_id", *([rest] if with_row else []), *row_key(), whole().alias("text"))
+    joined = rows.join(found, ["kid", "kth"], "left").select(*names, "text", "found")
     spans_type = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, found in zip(*(batch.column(c).to_pylist() for c in ("_text", "_found"))):
+            for text, found in zip(*(batch.column(c).to_pylist() for c in ("text", "found"))):
                 data = text.encode()
                 own = joined_spans([(x["b"], x["e"]) for x in found or ()])
                 edges = [0, *(x for span in own for x in span), len(data)]
@@ -430,6 +433,16 @@ def without_repeats(
             yield pa.RecordBatch.from_arrays(values, [*names, "n_bytes", "spans", "kept"])
 
     span = T.StructType().add("b", "long").add("e", "long")
-    schema = docs.select(*names).schema.add("n_bytes", "long")
+    schema = joined.select(*names).schema.add("n_bytes", "long")
     schema = schema.add("spans", T.ArrayType(span)).add("kept", "binary")
     return joined.mapInArrow(cut, schema)
+
+
+def text_of(kept: str = "kept"):
+    """What remains as text; a character that lost some of its bytes goes with them."""
+
+    @F.pandas_udf("string")
+    def decoded(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(kept)
