@@ -65,6 +65,14 @@ def page_of(position: Column | str, page_size: int = PAGE_SIZE) -> Column:
     return F.floor((position - 1) / page_size).cast("int")
 
 
+def of_each_page(states: DataFrame) -> DataFrame:
+    """A copy of each key's state for every page up to ``last_page``.
+
+    Pages and states then meet by (key, page): the pages of a hot key stay spread out.
+    """
+    return states.withColumn("page", F.explode(F.sequence(F.lit(0), "last_page"))).drop("last_page")
+
+
 def upto(window):
     """The rows of a window from its start to the current row."""
     return window.rowsBetween(Window.unboundedPreceding, 0)

@@ -25,6 +25,7 @@ from eventfold.functions.ordered import (
     joined,
     number,
     number_in_runs,
+    of_each_page,
     page_of,
     run_of,
     split,
@@ -103,8 +104,8 @@ def billing_aggregate(
     """The state per key after all events.
 
     ``key, page, bill, paymentRequests, paymentCount, lastPaymentFailed, errored``.
-    Page 0 is the record. A key with more than ``page_size`` payment requests goes on
-    listing them on pages 1, 2, …, which carry nothing else.
+    Every page is a whole record, with all of the state; a list of more than ``page_size``
+    payment requests is spread over pages 0, 1, 2, …, as a sink takes records of a bounded size.
     """
     cold, busy = split(billing_events(events), hot, hot_rows=hot_rows)
     return joined(
@@ -117,6 +118,9 @@ def _ordinary_records(rows: DataFrame, page_size: int) -> DataFrame:
     by_payment = Window.partitionBy("key", "kind", "payment_request.paymentId").orderBy("seq")
     in_order = Window.partitionBy("key").orderBy("seq")
     new = F.col("new").cast("long")
+    by_page = Window.partitionBy("key").orderBy("page")
+    # further pages hold requests that are listed and nothing else, so page 0 knows the state
+    state = ["bill", "bill_low", "bill_high", "open_failure", "repeated"]
     return (
         rows.repartition("key")
         .withColumn("new", F.expr(IS_REQUEST) & (F.row_number().over(by_payment) == 1))
@@ -130,14 +134,15 @@ def _ordinary_records(rows: DataFrame, page_size: int) -> DataFrame:
         .withColumn("page", F.when(F.col("new"), page_of("position", page_size)).otherwise(0))
         .groupBy("key", "page")
         .agg(_list_page(), F.first("payment_count").alias("payment_count"), *_summary())
+        .withColumns({name: F.first(name).over(by_page) for name in state})
         .select(
             "key",
             "page",
             "bill",
             "paymentRequests",
-            F.when(F.expr("page = 0"), F.col("payment_count")).alias("paymentCount"),
+            F.col("payment_count").alias("paymentCount"),
             F.col("open_failure").alias("lastPaymentFailed"),
-            F.when(F.expr("page = 0"), _errored()).alias("errored"),
+            _errored().alias("errored"),
         )
     )
 
@@ -265,11 +270,12 @@ def billing_records(
         .groupBy("key")
         .agg(last)
         .join(counts, "key", "left")
+        .withColumn("paymentCount", F.coalesce("paymentCount", F.lit(0).cast("long")))
         .select(
             "key",
-            F.lit(0).alias("page"),
+            page_of(F.greatest("paymentCount", F.lit(1)), page_size).alias("last_page"),
             F.col("last.bill_after").alias("bill"),
-            F.coalesce("paymentCount", F.lit(0).cast("long")).alias("paymentCount"),
+            "paymentCount",
             F.col("last.failure_after").alias("lastPaymentFailed"),
             F.col("last.errored_after").alias("errored"),
         )
@@ -279,13 +285,10 @@ def billing_records(
         .groupBy("key", page_of("position", page_size).alias("page"))
         .agg(_list_page())
     )
-    # only first pages meet the state of their key: the others of a hot key stay spread out
-    first = pages.where("page = 0").drop("page")
-    records = state.join(first, "key", "left").withColumn(
+    records = of_each_page(state).join(pages, ["key", "page"], "left").withColumn(
         "paymentRequests", F.coalesce("paymentRequests", F.array())
     )
-    further = pages.where("page > 0")
-    return records.unionByName(further, allowMissingColumns=True).select(
+    return records.select(
         "key", "page", "bill", "paymentRequests", "paymentCount", "lastPaymentFailed", "errored"
     )
 

@@ -12,6 +12,7 @@ from eventfold.functions.ordered import (
     hot_keys,
     joined,
     number_in_runs,
+    of_each_page,
     page_of,
     run_of,
     split,
@@ -56,19 +57,18 @@ def chaser_records(
 ) -> DataFrame:
     """``key, page, names, count, latest, longest`` from ``names_seen`` rows.
 
-    Page 0 is the record. A key with more than ``page_size`` names goes on listing them
-    on pages 1, 2, …, which carry nothing else.
+    Every page is a whole record, with all of ``count, latest, longest``; a list of more than
+    ``page_size`` names is spread over pages 0, 1, 2, …, as a sink takes records of a bounded size.
     """
     cold, busy = split(seen, hot, hot_rows=hot_rows)
     pages = joined(_ordinary_pages(cold, page_size), busy and _hot_pages(busy, page_size, run_bits))
-    head = F.col("page") == 0
     return pages.select(
         "key",
         "page",
         "names",
-        F.when(head, F.col("n") + count_seed).alias("count"),
-        F.when(head, _floored("sent")).alias("latest"),
-        F.when(head, _floored("ttl")).alias("longest"),
+        (F.col("n") + count_seed).alias("count"),
+        _floored("sent").alias("latest"),
+        _floored("ttl").alias("longest"),
     )
 
 
@@ -94,15 +94,16 @@ def _hot_pages(seen, page_size, run_bits):
     names = seen.select(
         "key", "name", "last_seq", run_of(-F.col("last_seq"), run_bits).alias("run")
     )
-    totals = seen.groupBy("key").agg(*[total.alias(name) for name, total in _totals().items()])
+    listed = page_of(F.count(F.lit(1)), page_size).alias("last_page")
+    totals = seen.groupBy("key").agg(
+        listed, *[total.alias(name) for name, total in _totals().items()]
+    )
     pages = (
         number_in_runs(names, ["key"], ["run"], [F.col("last_seq").desc()], "position")
         .groupBy("key", page_of("position", page_size).alias("page"))
         .agg(_list_page())
     )
-    # only first pages meet the totals of their key: the others stay spread out
-    first = pages.where("page = 0").join(totals, "key")
-    return first.unionByName(pages.where("page > 0"), allowMissingColumns=True)
+    return pages.join(of_each_page(totals), ["key", "page"])
 
 
 def chaser_aggregate(

@@ -14,23 +14,25 @@ chasers AS (
 
 BILLING = """
 unnumbered AS (
-  SELECT 'BILL-' || o_orderkey AS key, epoch_us(o_orderdate) // 1000 AS happened, 0 AS rank, 0 AS line,
+  SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'INV-' ELSE 'BILL-' END || o_orderkey AS key,
+         epoch_us(o_orderdate) // 1000 AS happened, 0 AS rank, 0 AS line,
          0 AS part, 0 AS supp, 'Bill' AS kind, 'ORD-' || o_orderkey AS id,
          'CUST-' || o_custkey AS customer, CAST(round(o_totalprice * 100) AS BIGINT) AS amount,
          epoch_us(o_orderdate) // 1000 AS stamp
-  FROM orders WHERE o_orderkey % 10 <> 9
+  FROM orders
   UNION ALL
-  SELECT 'BILL-' || o_orderkey, epoch_us(o_orderdate) // 1000 + CAST(3888000000 AS BIGINT), 0, 1, 0, 0,
+  SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'INV-' ELSE 'BILL-' END || o_orderkey,
+         epoch_us(o_orderdate) // 1000 + CAST(3888000000 AS BIGINT), 0, 1, 0, 0,
          'Bill', 'ORD-' || o_orderkey, 'CUST-' || o_custkey,
          CAST(round(o_totalprice * 100) AS BIGINT) + o_orderkey % 2, epoch_us(o_orderdate) // 1000
-  FROM orders WHERE o_orderkey % 10 <> 9 AND o_orderstatus = 'P'
+  FROM orders WHERE o_orderstatus = 'P'
   UNION ALL
   SELECT 'BILL-' || l_orderkey, epoch_us(l_shipdate) // 1000,
          CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END, l_linenumber, l_partkey, l_suppkey,
          CASE WHEN l_returnflag = 'R' THEN 'PaymentFailed' ELSE 'PaymentRequest' END,
          'PAY-' || l_orderkey || '-' || l_linenumber,
          coalesce('CUST-' || o_custkey, 'unknown'),
-         CASE WHEN l_returnflag <> 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END,
+         CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END,
          epoch_us(l_shipdate) // 1000
   FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
 billing AS (
@@ -57,9 +59,8 @@ totals AS (
   FROM chasers GROUP BY key),
 records AS (
   SELECT p.key, p.page, string_agg(p.name, ',' ORDER BY p.last_seq DESC) AS names,
-         CASE WHEN p.page = 0 THEN any_value(t.n) END AS event_count,
-         CASE WHEN p.page = 0 THEN any_value(t.latest) END AS latest,
-         CASE WHEN p.page = 0 THEN any_value(t.longest) END AS longest
+         any_value(t.n) AS event_count, any_value(t.latest) AS latest,
+         any_value(t.longest) AS longest
   FROM placed p JOIN totals t ON p.key = t.key GROUP BY p.key, p.page)"""
 
 # One row per event with what decides the state: payments so far, the bill before, and
@@ -102,11 +103,14 @@ lists AS (
   SELECT key, (payment_count - 1) // {PAGE} AS page, string_agg(id, ',' ORDER BY seq) AS payment_ids
   FROM events_judged WHERE added GROUP BY ALL),
 records AS (
-  SELECT coalesce(s.key, l.key) AS key, coalesce(s.page, l.page) AS page, bill_customer_id,
+  SELECT s.key, coalesce(l.page, 0) AS page, bill_customer_id,
          bill_amount_cents, coalesce(payment_ids, '') AS payment_ids, payment_count,
          last_failed_payment_id, last_failed_at, errored
-  FROM (SELECT CAST(0 AS BIGINT) AS page, * FROM states) s
-  FULL JOIN lists l ON s.key = l.key AND s.page = l.page)"""
+  FROM states s LEFT JOIN lists l ON s.key = l.key)"""
+
+# Every frame, and which ones arrive damaged.
+DAMAGE = """CASE (seq + length(key)) % 20 WHEN 0 THEN 'null_value' WHEN 1 THEN 'too_short'
+         WHEN 2 THEN 'bad_magic' WHEN 3 THEN 'unknown_schema' WHEN 4 THEN 'bad_body' END"""
 
 
 def _with(*parts: str) -> str:
@@ -183,11 +187,23 @@ ORACLE = {
         SELECT key, seq, kind, name, sent, ttl, previous FROM chasers""",
     "billing_frame_roundtrip": f"""{_with(BILLING)}
         SELECT key, seq, kind, id, amount AS amount_cents, stamp FROM billing""",
-    "frame_rejects": f"""{_with(CHASERS)}
-        SELECT CASE seq % 20 WHEN 0 THEN 'null_value' WHEN 1 THEN 'too_short'
-               WHEN 2 THEN 'bad_magic' WHEN 3 THEN 'unknown_schema' WHEN 4 THEN 'bad_body'
-               ELSE 'accepted' END AS reject_reason, count(*) AS n
-        FROM chasers GROUP BY 1""",
+    "frame_rejects": f"""{_with(CHASERS, BILLING)}
+        SELECT key, seq, {DAMAGE} AS reject_reason,
+               CASE WHEN (seq + length(key)) % 20 = 4 THEN kind END AS rejected_kind
+        FROM ({_events_of("key|key", "seq|seq", "kind|kind")})
+        WHERE (seq + length(key)) % 20 < 5""",
+    "damaged_topic_billing": f"""{_with(BILLING.replace("billing AS (", "sent AS ("),
+        " billing AS (SELECT * FROM sent WHERE (seq + length(key)) % 20 >= 5)",
+        BILLING_STEPS, BILLING_RECORDS)} SELECT * FROM records""",
+    "aggregate_frames_roundtrip": f"""{_with(CHASERS, CHASER_RECORDS.replace("records AS", "summaries AS"),
+        BILLING, BILLING_STEPS, BILLING_RECORDS)}
+        SELECT key, page, 'Aggregate' AS kind, names AS items, event_count AS n, latest, longest,
+               NULL AS bill_amount_cents, NULL AS last_failed_at, NULL AS errored
+        FROM summaries
+        UNION ALL
+        SELECT key, page, 'BillAggregate', payment_ids, NULL, NULL, NULL, bill_amount_cents,
+               last_failed_at, errored
+        FROM records""",
     "schema_usage": f"""{_with(CHASERS, BILLING)}, used AS (
           SELECT kind, count(*) AS n FROM ({_events_of("kind|kind")}) GROUP BY kind),
         known(kind, name, schema_id) AS (VALUES
@@ -234,8 +250,8 @@ ORACLE = {
                                    IGNORE NULLS) OVER (PARTITION BY instance ORDER BY tick),
                         false) AS ready
         FROM seen""",
-    "streaming_event_counts": f"""{_with(CHASERS)}
-        SELECT name AS count_key, count(*) AS n FROM chasers GROUP BY name""",
+    "streaming_event_counts": f"""{_with(CHASERS, BILLING, COUNTED)}
+        SELECT count_key, count(*) AS n FROM counted GROUP BY count_key""",
     "streaming_chaser_aggregate": CHASER_RESULT,
     "streaming_billing_aggregate": BILLING_RESULT,
 }

@@ -16,9 +16,11 @@ from eventfold.session import fit_shuffles, prepare, scratch
 from eventfold.sources import tables
 from eventfold.sources.catalog import SCHEMA_IDS, schema_catalog
 from eventfold.sources.envelope import read_envelopes, write_envelopes
-from eventfold.sources.frames import decode_frames, encode_frames, good, read_headers
+from eventfold.sources.frames import decode_frames, encode_frames, good, read_headers, rejects
+from eventfold.sources.log import Log, from_topic
 from eventfold.sources.query import sql_rows
 from eventfold.streaming import streams
+from eventfold.streaming.sinks import aggregate_frames
 
 MINUTE_MS = 60_000
 LOOKUP_CHASER = "user-1"
@@ -205,8 +207,8 @@ def billing_frame_roundtrip(spark, sf_dir):
 
 
 def _damaged(frames: DataFrame) -> DataFrame:
-    """Break some frames, each in a way set by the event's number."""
-    which = F.col("seq") % 20
+    """Break some frames, each in a way set by the event's number and key."""
+    which = (F.col("seq") + F.length("key")) % 20
     value = F.col("value")
     size = F.octet_length(value)
     broken = (
@@ -221,10 +223,41 @@ def _damaged(frames: DataFrame) -> DataFrame:
 
 
 def frame_rejects(spark, sf_dir):
-    """What becomes of frames when some arrive damaged; ``accepted`` are read."""
-    decoded = decode_frames(_damaged(_chaser_frames(spark, sf_dir)), _catalog(spark), ["Chaser"])
-    outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason")
-    return decoded.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
+    """Which frames of all kinds are refused when some arrive damaged, and why."""
+    frames = encode_frames(_all_events(spark, sf_dir), SCHEMA_IDS)
+    return rejects(decode_frames(_damaged(frames), _catalog(spark)))
+
+
+def damaged_topic_billing(spark, sf_dir):
+    """The billing records of a topic on which some frames arrive damaged."""
+    frames = _damaged(encode_frames(tables.billing_log(spark, sf_dir), SCHEMA_IDS))
+    records = frames.select("key", "value", F.col("seq").alias("offset"), F.lit(0).alias("partition"))
+    events = from_topic(records, Log(format="kafka", topic="input"))
+    # the hot keys of what was sent are those of what arrives, and known without reading frames
+    return _flat_billing(billing.billing_aggregate(events, tables.hot_bills(spark, sf_dir)))
+
+
+def aggregate_frames_roundtrip(spark, sf_dir):
+    """All aggregate records of both kinds, as frames and back."""
+    summaries = chaser.chaser_aggregate(tables.chaser_log(spark, sf_dir))
+    frames = aggregate_frames(summaries, "Aggregate", SCHEMA_IDS).unionByName(
+        aggregate_frames(_billing(spark, sf_dir), "BillAggregate", SCHEMA_IDS)
+    )
+    kinds = ["Aggregate", "BillAggregate"]
+    read = decode_frames(frames.withColumnRenamed("page", "seq"), _catalog(spark), kinds)
+    listed = F.coalesce("aggregate.names", "bill_aggregate.paymentRequests.paymentId")
+    return good(read).select(
+        "key",
+        F.col("seq").alias("page"),
+        "kind",
+        F.array_join(listed, ",").alias("items"),
+        F.col("aggregate.count").alias("n"),
+        "aggregate.latest",
+        "aggregate.longest",
+        F.col("bill_aggregate.bill.amountCents").alias("bill_amount_cents"),
+        F.col("bill_aggregate.lastPaymentFailed.failedAt").alias("last_failed_at"),
+        "bill_aggregate.errored",
+    )
 
 
 def schema_usage(spark, sf_dir):
@@ -345,7 +378,10 @@ def _play_billing(spark, sf_dir, begin):
 
 def streaming_event_counts(spark, sf_dir):
     table, checkpoint = scratch(spark, "counts"), scratch(spark, "checkpoint")
-    _play_chasers(spark, sf_dir, lambda s: streams.stream_counts(s, table, checkpoint))
+    # counts need no order: any stretch of events may come first
+    stretch = F.pmod(F.xxhash64("key", "kind"), F.lit(STRETCHES)).cast("int")
+    events = _all_events_unordered(spark, sf_dir)
+    replay(events, stretch, STRETCHES, lambda s: streams.stream_counts(s, table, checkpoint))
     return streams.current_counts(spark, table)
 
 
@@ -385,6 +421,8 @@ QUERIES = [
     frame_roundtrip,
     billing_frame_roundtrip,
     frame_rejects,
+    damaged_topic_billing,
+    aggregate_frames_roundtrip,
     schema_usage,
     json_envelope,
     sql_text_rows,

@@ -1,7 +1,8 @@
 """Framed records: one zero byte, a four-byte schema id, an Avro body.
 
 Header checks are column expressions; bodies are written and read by one Arrow pass
-(``avro_body``). Frames that cannot be read are kept with a ``reject_reason``.
+(``avro_body``). Frames that cannot be read are kept with a ``reject_reason`` and have no
+``kind``, so that nothing folds them.
 """
 
 import struct
@@ -61,8 +62,9 @@ def decode_frames(
 ) -> DataFrame:
     """Events with ``reject_reason``, null where the frame was read.
 
-    A record type outside ``kinds`` (default: all of the catalog given to the reader)
-    keeps its kind but no body.
+    A frame that was not read has its kind, as far as that is known, in ``rejected_kind``. A
+    record type outside ``kinds`` (default: all of the catalog given to the reader) is read, but
+    keeps its kind only: no fold takes it.
     """
     kinds = list(TYPE_OF) if kinds is None else kinds
     out = T.StructType(
@@ -77,14 +79,19 @@ def decode_frames(
     headed = read_headers(frames, catalog).select(
         "key", F.col("seq").cast("long").alias("seq"), "kind", "value", "reject_reason"
     )
-    return headed.mapInArrow(body_reader(kinds, HEADER_BYTES), out)
+    decoded = headed.mapInArrow(body_reader(kinds, HEADER_BYTES), out)
+    read = F.col("reject_reason").isNull()
+    return decoded.withColumns(
+        {"kind": F.when(read, F.col("kind")), "rejected_kind": F.when(~read, F.col("kind"))}
+    )
 
 
 def good(decoded: DataFrame) -> DataFrame:
     """The events that were read."""
-    return decoded.where("reject_reason IS NULL").drop("reject_reason")
+    return decoded.where("reject_reason IS NULL").drop("reject_reason", "rejected_kind")
 
 
 def rejects(decoded: DataFrame) -> DataFrame:
-    """``key, seq, reject_reason`` of the others, for a sink of their own."""
-    return decoded.where("reject_reason IS NOT NULL").select("key", "seq", "reject_reason")
+    """``key, seq, rejected_kind, reject_reason`` of the others, for a sink of their own."""
+    refused = decoded.where("reject_reason IS NOT NULL")
+    return refused.select("key", "seq", "rejected_kind", "reject_reason")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventfold.schemas import EVENT, INPUT_KINDS
 from eventfold.sources.catalog import schema_catalog
-from eventfold.sources.frames import decode_frames
+from eventfold.sources.frames import decode_frames, good, rejects
 
 
 @dataclass(frozen=True)
@@ -31,26 +31,44 @@ def read_events(spark: SparkSession, log: Log, streaming: bool = False) -> DataF
     """Events of a log, as a table or as a stream.
 
     Topic records get ``seq = offset * partitions + partition``: unique in the whole topic
-    and in order within a partition, hence within a key. Frames that cannot be read keep
-    their ``reject_reason``; see ``frames.good`` and ``frames.rejects``.
+    and in order within a partition, hence within a key. Frames that cannot be read are not
+    among the events; ``read_rejects`` gives them.
     """
-    reader = spark.readStream if streaming else spark.read
     if log.format == "parquet":
+        reader = spark.readStream if streaming else spark.read
         return reader.schema(EVENT).options(**log.options).parquet(log.path)
+    return from_topic(_records(spark, log, streaming), log)
+
+
+def read_rejects(spark: SparkSession, log: Log, streaming: bool = False) -> DataFrame:
+    """``key, seq, rejected_kind, reject_reason`` of a topic's frames that cannot be read."""
+    return topic_rejects(_records(spark, log, streaming), log)
+
+
+def _records(spark, log, streaming):
     if log.format != "kafka":
         raise ValueError(f"no such log format: {log.format}")
-    records = (
-        reader.format("kafka")
+    return (
+        (spark.readStream if streaming else spark.read)
+        .format("kafka")
         .option("subscribe", log.topic)
         .option("startingOffsets", log.starting_offsets)
         .options(**log.options)
         .load()
     )
-    return from_topic(records, log)
 
 
 def from_topic(records: DataFrame, log: Log) -> DataFrame:
-    """Events of ``key, value, offset, partition`` records."""
+    """Events of ``key, value, offset, partition`` records, without what cannot be read."""
+    return good(_decoded(records, log))
+
+
+def topic_rejects(records: DataFrame, log: Log) -> DataFrame:
+    """What ``from_topic`` leaves out, with the reasons."""
+    return rejects(_decoded(records, log))
+
+
+def _decoded(records, log):
     frames = records.select(
         F.col("key").cast("string").alias("key"),
         (F.col("offset") * log.partitions + F.col("partition")).alias("seq"),

@@ -33,24 +33,30 @@ def aggregate_frames(records: DataFrame, kind: str, ids: dict[str, int]) -> Data
     return encode_frames(rows, ids).withColumnRenamed("seq", "page")
 
 
-def topic_rows(records: DataFrame, kind: str, ids: dict[str, int]) -> DataFrame:
-    """Aggregate records as the Kafka sink takes them, the list page in a header."""
-    page = F.struct(
-        F.lit("page").alias("key"), F.col("page").cast("string").cast("binary").alias("value")
-    )
-    return aggregate_frames(records, kind, ids).select(
-        "key", "value", F.array(page).alias("headers")
-    )
+def topic_rows(
+    records: DataFrame, kind: str, ids: dict[str, int], batch_id: int = 0
+) -> DataFrame:
+    """Aggregate records as the Kafka sink takes them, list page and batch in headers.
+
+    A reader puts the pages of one key and batch together, and knows a batch sent again by its
+    number.
+    """
+
+    def header(name, value):
+        return F.struct(F.lit(name).alias("key"), value.cast("string").cast("binary").alias("value"))
+
+    headers = F.array(header("page", F.col("page")), header("batch", F.lit(batch_id)))
+    return aggregate_frames(records, kind, ids).select("key", "value", headers.alias("headers"))
 
 
 def topic_publisher(topic: str, kind: str, ids: dict[str, int], options: dict):
     """Send changed records to a topic, keyed by string.
 
-    The Kafka sink delivers at least once; readers keep the last value of a key and page.
+    The Kafka sink delivers at least once; readers keep the pages of a key's last batch.
     """
 
     def publish(records: DataFrame, batch_id: int) -> None:
-        writer = topic_rows(records, kind, ids).write.format("kafka")
+        writer = topic_rows(records, kind, ids, batch_id).write.format("kafka")
         writer.option("topic", topic).options(**options).save()
 
     return publish

@@ -121,6 +121,14 @@ def current_billing(
     return billing_records(runs, requests, page_size)
 
 
+def stream_rejects(
+    rejects: DataFrame, table: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Put what ``read_rejects`` gives aside, in a table of its own."""
+    writer = rejects.writeStream.outputMode("append")
+    return start(writer.foreachBatch(lambda rows, i: write_batch(rows, table, i)), checkpoint, every)
+
+
 def compact_counts(spark: SparkSession, table: str, into: str) -> None:
     """Write what ``table`` comes to as a new table, to go on with after a restart.
 

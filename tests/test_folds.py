@@ -24,7 +24,7 @@ def plain(value):
 
 
 def records(pages, list_name):
-    """Put the pages of each key back together; only page 0 may carry state."""
+    """Put the pages of each key back together; each carries all the state."""
     out = {}
     for row in sorted((r.asDict(recursive=True) for r in pages.collect()), key=lambda r: r["page"]):
         listed = row.pop(list_name)
@@ -34,7 +34,7 @@ def records(pages, list_name):
             assert key not in out
             out[key] = (listed, row)
         else:
-            assert all(v is None for v in row.values())
+            assert row == out[key][1]
             assert len(listed) > 0
             out[key][0].extend(listed)
     return out

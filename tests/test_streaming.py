@@ -13,7 +13,7 @@ from eventfold.schemas import EVENT
 from eventfold.session import scratch
 from eventfold.sources.catalog import SCHEMA_IDS, schema_catalog
 from eventfold.sources.frames import decode_frames, encode_frames, good
-from eventfold.sources.log import Log, from_topic, read_events
+from eventfold.sources.log import Log, from_topic, read_events, topic_rejects
 from eventfold.streaming import streams
 from eventfold.streaming.sinks import aggregate_frames, read_batches
 
@@ -187,6 +187,26 @@ def test_topic_rows_fit_the_sink(spark, events):
         "string", "binary", "array<struct<key:string,value:binary>>",
     ]
     assert {bytes(r.headers[0].value) for r in rows.collect()} == {b"0"}
+    again = topic_rows(chaser_aggregate(frame(spark, events)), "Aggregate", SCHEMA_IDS, 7).collect()
+    assert {tuple((h.key, bytes(h.value)) for h in r.headers) for r in again} == {
+        (("page", b"0"), ("batch", b"7"))
+    }
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 1, "run_bits": 2}])
+def test_every_page_is_a_record_that_encodes(spark, events, limits):
+    from eventfold.operators.billing import billing_aggregate
+    from eventfold.operators.chaser import chaser_aggregate
+    from eventfold.streaming.sinks import topic_rows
+
+    df = frame(spark, events)
+    for kind, fold_ in (("Aggregate", chaser_aggregate), ("BillAggregate", billing_aggregate)):
+        pages = fold_(df, page_size=1, **limits)
+        assert pages.where("page > 0").count()
+        assert topic_rows(pages, kind, SCHEMA_IDS).collect()
+        frames = aggregate_frames(pages, kind, SCHEMA_IDS).withColumnRenamed("page", "seq")
+        read = decode_frames(frames, schema_catalog(spark, "t"), [kind])
+        assert good(read).count() == pages.count()
 
 
 def test_a_topic_is_folded_frame_by_frame(spark, events):
@@ -202,11 +222,46 @@ def test_a_topic_is_folded_frame_by_frame(spark, events):
     records.write.parquet(path)
     log = Log(format="kafka", topic="input", partitions=3)
     stream = from_topic(spark.readStream.schema(records.schema).parquet(path), log)
-    streams.stream_counts(good(stream), table, scratch(spark, "checkpoint")).awaitTermination()
+    streams.stream_counts(stream, table, scratch(spark, "checkpoint")).awaitTermination()
     total, _ = fold.counts([e for e in events if e["seq"] % 10])
     assert {r.count_key: r.n for r in streams.current_counts(spark, table).collect()} == total
     seqs = {r.seq for r in from_topic(spark.read.parquet(path), log).select("seq").collect()}
-    assert seqs == {e["seq"] * 3 + 2 for e in events}
+    assert seqs == {e["seq"] * 3 + 2 for e in events if e["seq"] % 10}
+
+    aside = scratch(spark, "rejects")
+    refused = topic_rejects(spark.readStream.schema(records.schema).parquet(path), log)
+    streams.stream_rejects(refused, aside, scratch(spark, "checkpoint")).awaitTermination()
+    kept = spark.read.parquet(aside).select("seq", "rejected_kind", "reject_reason").collect()
+    assert {tuple(r) for r in kept} == {
+        (e["seq"] * 3 + 2, None, "too_short") for e in events if not e["seq"] % 10
+    }
+
+
+def test_a_damaged_frame_is_not_folded(spark):
+    """A bill, a failure, and a request that cannot be read: the failure stays outstanding."""
+    from eventfold.operators.billing import billing_aggregate
+    from eventfold.operators.counts import event_counts
+    from eventfold.operators.meters import processing_meters
+
+    bill = dict(billId="K", customerId="C", orderId="O", amountCents=1, currency="USD", issuedAt=1, dueDate=2)
+    failed = dict(paymentId="P", billId="K", customerId="C", failureReason="NSF", failedAt=3)
+    request = dict(paymentId="P", billId="K", customerId="C", amountCents=1, currency="USD", requestedAt=4)
+    rows = [
+        ("K", 1, "Bill", None, bill, None, None),
+        ("K", 2, "PaymentFailed", None, None, None, failed),
+        ("K", 3, "PaymentRequest", None, None, request, None),
+    ]
+    frames = encode_frames(spark.createDataFrame(rows, EVENT), SCHEMA_IDS)
+    value = F.when(F.col("seq") == 3, F.substring("value", 1, 8)).otherwise(F.col("value"))
+    records = frames.select("key", value.alias("value"), F.col("seq").alias("offset"), F.lit(0).alias("partition"))
+    log = Log(format="kafka", topic="input")
+    read = from_topic(records, log)
+    state = billing_aggregate(read).collect()[0]
+    assert (state.paymentCount, state.lastPaymentFailed.paymentId) == (0, "P")
+    assert {r.count_key for r in event_counts(read).collect()} == {"Bill-K", "PayFail-K"}
+    assert processing_meters(read).collect()[0].billing_aggregation == 2
+    refused = topic_rejects(records, log).collect()
+    assert [(r.seq, r.rejected_kind, r.reject_reason) for r in refused] == [(3, "PaymentRequest", "bad_body")]
 
 
 def test_log_sources(spark, events):
