@@ -32,6 +32,7 @@ from eventfold.functions.ordered import (
     upto,
     whole,
 )
+from eventfold.operators.lookup import of_key
 from eventfold.schemas import BILLING_KINDS
 
 IS_BILL = "kind = 'Bill'"
@@ -89,8 +90,8 @@ def _errored() -> Column:
     return F.col("repeated") | ~F.col("bill_low").eqNullSafe(F.col("bill_high"))
 
 
-def _list_page() -> Column:
-    listed = F.sort_array(F.collect_list(F.when(F.col("new"), F.struct("seq", "payment_request"))))
+def _list_page(order: str = "seq") -> Column:
+    listed = F.sort_array(F.collect_list(F.when(F.col("new"), F.struct(order, "payment_request"))))
     return F.transform(listed, lambda item: item["payment_request"]).alias("paymentRequests")
 
 
@@ -113,6 +114,13 @@ def billing_aggregate(
     )
 
 
+def billing_of(
+    events: DataFrame, key: str, page_size: int = PAGE_SIZE, run_bits: int = RUN_BITS
+) -> DataFrame:
+    """The state of one key, folded in runs as if it were hot: nothing is measured first."""
+    return _hot_records(billing_events(of_key(events, key)), page_size, run_bits)
+
+
 def _ordinary_records(rows: DataFrame, page_size: int) -> DataFrame:
     """All in one shuffle on the key: two window sorts, then one aggregation."""
     by_payment = Window.partitionBy("key", "kind", "payment_request.paymentId").orderBy("seq")
@@ -173,23 +181,31 @@ def first_requests(rows: DataFrame) -> DataFrame:
     """``key, paymentId, seq, payment_request``: the first request of each payment id.
 
     Payments are partially aggregated before the shuffle, which is on the payment and
-    not on the key. Merging two such tables takes the same call again.
+    not on the key. Merging tables of several micro-batches takes the same call again; their
+    rows have the batch they ``arrived`` in, and an earlier one comes first.
     """
     requests = rows.where("payment_request IS NOT NULL")
     if "paymentId" not in requests.columns:
         requests = requests.withColumn("paymentId", F.col("payment_request.paymentId"))
-    first = F.min_by(F.struct("seq", "payment_request"), "seq").alias("first")
+    order = [name for name in ("arrived", "seq") if name in requests.columns]
+    first = F.min_by(F.struct(*order, "payment_request"), F.struct(*order)).alias("first")
     return requests.groupBy("key", "paymentId").agg(first).select("key", "paymentId", "first.*")
 
 
+def _run_order(runs: DataFrame) -> list[str]:
+    return [name for name in ("batch", "first_seq") if name in runs.columns]
+
+
 def settle(runs: DataFrame) -> DataFrame:
-    """State of each key after every one of its runs, in ``first_seq`` order.
+    """State of each key after every one of its runs.
 
+    Runs are taken in ``first_seq`` order, those of several micro-batches by ``batch`` first.
     Adds ``bill_after, failure_after, errored_after``. A run with a request leaves its own
     open failure; one without passes on the failure it found.
     """
-    in_order = Window.partitionBy("key").orderBy("first_seq")
-    in_stretch = Window.partitionBy("key", "stretch").orderBy("first_seq")
+    order = _run_order(runs)
+    in_order = Window.partitionBy("key").orderBy(*order)
+    in_stretch = Window.partitionBy("key", "stretch").orderBy(*order)
     return (
         runs.withColumn("stretch", F.sum(F.col("has_request").cast("long")).over(upto(in_order)))
         .withColumn("failure_after", F.first("open_failure", ignorenulls=True).over(upto(in_stretch)))
@@ -218,13 +234,16 @@ def number_requests(
 ) -> DataFrame:
     """Add the list ``position`` of each of the ``first_requests``."""
     rows = requests.withColumn("run", run_of("seq", run_bits))
-    return number(rows, "key", ["run"], [F.col("seq")], "position", hot)
+    arrived = [name for name in ("arrived",) if name in rows.columns]
+    order = [F.col(name) for name in (*arrived, "seq")]
+    return number(rows, "key", [*arrived, "run"], order, "position", hot)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All runs of a key as one run: a summary that stands for its whole history so far."""
-    last = F.max_by(F.struct("bill_after", "failure_after", "repeated"), "first_seq").alias("last")
-    led = F.when(F.col("leads_with_failure").isNotNull(), F.col("first_seq"))
+    order = F.struct(*_run_order(runs))
+    last = F.max_by(F.struct("bill_after", "failure_after", "repeated"), order).alias("last")
+    led = F.when(F.col("leads_with_failure").isNotNull(), order)
     return (
         settle(runs)
         .groupBy("key")
@@ -261,7 +280,7 @@ def billing_records(
     gathered a page at a time.
     """
     last = F.max_by(
-        F.struct("bill_after", "failure_after", "errored_after"), "first_seq"
+        F.struct("bill_after", "failure_after", "errored_after"), F.struct(*_run_order(runs))
     ).alias("last")
     # a plain count, so that this branch reads neither the requests nor their positions
     counts = requests.groupBy("key").agg(F.count(F.lit(1)).alias("paymentCount"))
@@ -283,7 +302,7 @@ def billing_records(
     pages = (
         requests.withColumn("new", F.lit(True))
         .groupBy("key", page_of("position", page_size).alias("page"))
-        .agg(_list_page())
+        .agg(_list_page("position"))
     )
     records = of_each_page(state).join(pages, ["key", "page"], "left").withColumn(
         "paymentRequests", F.coalesce("paymentRequests", F.array())

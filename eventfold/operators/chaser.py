@@ -19,6 +19,7 @@ from eventfold.functions.ordered import (
     upto,
     whole,
 )
+from eventfold.operators.lookup import of_key
 
 
 def chasers(events: DataFrame) -> DataFrame:
@@ -62,6 +63,10 @@ def chaser_records(
     """
     cold, busy = split(seen, hot, hot_rows=hot_rows)
     pages = joined(_ordinary_pages(cold, page_size), busy and _hot_pages(busy, page_size, run_bits))
+    return _records(pages, count_seed)
+
+
+def _records(pages, count_seed):
     return pages.select(
         "key",
         "page",
@@ -126,6 +131,18 @@ def chaser_aggregate(
     return chaser_records(names_seen(rows), hot, count_seed, page_size, hot_rows, run_bits)
 
 
+def chaser_of(
+    events: DataFrame,
+    key: str,
+    count_seed: int = 1,
+    page_size: int = PAGE_SIZE,
+    run_bits: int = RUN_BITS,
+) -> DataFrame:
+    """The summary of one key, folded in runs as if it were hot: nothing is measured first."""
+    pages = _hot_pages(names_seen(chasers(of_key(events, key))), page_size, run_bits)
+    return _records(pages, count_seed)
+
+
 def chaser_changelog(
     events: DataFrame,
     hot: DataFrame | str | None = MEASURE,

@@ -137,13 +137,11 @@ def processing_meters(spark, sf_dir):
 
 
 def chaser_lookup(spark, sf_dir):
-    events = lookup.of_key(tables.chaser_log(spark, sf_dir), LOOKUP_CHASER)
-    return _flat_chaser(chaser.chaser_aggregate(events))
+    return _flat_chaser(chaser.chaser_of(tables.chaser_log(spark, sf_dir), LOOKUP_CHASER))
 
 
 def billing_lookup(spark, sf_dir):
-    events = lookup.of_key(tables.billing_log(spark, sf_dir), LOOKUP_BILL)
-    return _flat_billing(billing.billing_aggregate(events))
+    return _flat_billing(billing.billing_of(tables.billing_log(spark, sf_dir, hot=None), LOOKUP_BILL))
 
 
 def chaser_keys(spark, sf_dir):

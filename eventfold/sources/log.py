@@ -1,10 +1,12 @@
 """Where events come from: a parquet log or a topic of frames."""
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventfold.functions.ordered import RUN_BITS
 from eventfold.schemas import EVENT, INPUT_KINDS
 from eventfold.sources.catalog import schema_catalog
 from eventfold.sources.frames import decode_frames, good, rejects
@@ -27,6 +29,15 @@ class Log:
     options: dict = field(default_factory=dict)
 
 
+def run_bits_of(log: Log) -> int:
+    """``run_bits`` for the folds of a log: runs of a key hold as many offsets as they would rows.
+
+    A key's records are all in one partition of a topic, so their ``seq`` are as far apart as
+    there are partitions.
+    """
+    return RUN_BITS + math.ceil(math.log2(max(1, log.partitions)))
+
+
 def read_events(spark: SparkSession, log: Log, streaming: bool = False) -> DataFrame:
     """Events of a log, as a table or as a stream.
 

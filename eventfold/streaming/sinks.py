@@ -13,6 +13,11 @@ def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
 
+def create(spark: SparkSession, table: str, like: DataFrame) -> None:
+    """Write an empty batch, so that the table can be read before the first micro-batch."""
+    write_batch(spark.createDataFrame([], like.schema), table, -1)
+
+
 def read_batches(spark: SparkSession, table: str) -> DataFrame:
     """All rows of a table written by ``write_batch``, with their ``batch``."""
     return spark.read.parquet(table)

@@ -9,8 +9,8 @@ summarised with the batch operators, a fixed-size row per run and one row per ne
 payment, and the summaries are merged on reading, in order. No key's history, nor a
 micro-batch's share of a hot key, ever has to fit in one task.
 
-Micro-batches hold consecutive stretches of each key, as a topic delivers them; inside
-a micro-batch rows may come in any order.
+Inside a micro-batch rows may come in any order; they are taken by ``seq``. Micro-batches are
+taken as they arrive, so an event that comes late is applied late, as in a topic.
 """
 
 from collections.abc import Callable
@@ -30,7 +30,7 @@ from eventfold.operators.billing import (
 )
 from eventfold.operators.chaser import chaser_records, chasers, names_seen
 from eventfold.operators.counts import event_counts
-from eventfold.streaming.sinks import read_batches, start, write_batch
+from eventfold.streaming.sinks import create, read_batches, start, write_batch
 
 Publish = Callable[[DataFrame, int], None]
 
@@ -39,7 +39,9 @@ def stream_counts(
     events: DataFrame, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Keep the event counts; ``table`` receives the counts that changed."""
-    writer = event_counts(events).writeStream.outputMode("update")
+    counted = event_counts(events)
+    create(events.sparkSession, table, counted)
+    writer = counted.writeStream.outputMode("update")
     return start(writer.foreachBatch(lambda rows, i: write_batch(rows, table, i)), checkpoint, every)
 
 
@@ -63,7 +65,9 @@ def stream_chasers(
             spark = rows.sparkSession
             publish(current_chasers(spark, table, _touched(spark, table, i)), i)
 
-    writer = names_seen(chasers(events)).writeStream.outputMode("update")
+    seen = names_seen(chasers(events))
+    create(events.sparkSession, table, seen)
+    writer = seen.writeStream.outputMode("update")
     return start(writer.foreachBatch(each), checkpoint, every)
 
 
@@ -93,7 +97,9 @@ def stream_billing(
     def each(rows, i):
         rows = rows.persist()
         try:
-            write_batch(first_requests(rows), f"{table}/requests", i)
+            arrived = F.lit(i).cast("long")
+            requests = first_requests(rows).withColumn("arrived", arrived)
+            write_batch(requests, f"{table}/requests", i)
             write_batch(billing_runs(rows, run_bits), f"{table}/runs", i)
         finally:
             rows.unpersist()
@@ -101,7 +107,11 @@ def stream_billing(
             spark = rows.sparkSession
             publish(current_billing(spark, table, _touched(spark, f"{table}/runs", i)), i)
 
-    writer = billing_events(events).writeStream
+    rows = billing_events(events)
+    requests = first_requests(rows).withColumn("arrived", F.lit(-1).cast("long"))
+    create(events.sparkSession, f"{table}/requests", requests)
+    create(events.sparkSession, f"{table}/runs", billing_runs(_still(rows), run_bits))
+    writer = rows.writeStream
     return start(writer.foreachBatch(each), checkpoint, every)
 
 
@@ -156,6 +166,11 @@ def state_locations(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.*"), "partition_id").toDF("key", "partition_id")
 
 
+def _still(rows):
+    """An empty table of the stream's columns, for plans that a stream cannot have."""
+    return rows.sparkSession.createDataFrame([], rows.schema)
+
+
 def _latest_counts(rows):
     """Counts only grow."""
     return rows.groupBy("count_key").agg(F.max("n").alias("n"))

@@ -72,6 +72,40 @@ def test_lookup_reaches_the_scan(log):
     from eventfold.operators.lookup import of_key
 
     assert "EqualTo(key,k1)" in plan_of(of_key(billing.billing_aggregate(log, hot=None), "k1"))
+    assert "EqualTo(key,k1)" in plan_of(billing.billing_of(log, "k1"))
+    assert "EqualTo(key,k1)" in plan_of(chasers.chaser_of(log, "k1"))
+
+
+@pytest.mark.parametrize("query", ["billing_lookup", "chaser_lookup"])
+def test_lookups_start_no_job_before_their_own(spark, tiny, query):
+    from eventfold.plans.queries import registry
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(query, query)
+    registry()[query](spark, tiny)
+    started = tracker.getJobIdsForGroup(query)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # reading a file's schema is a job of its own
+    assert len(started) <= 3
+
+
+def test_a_key_looked_up_is_the_key_folded(log):
+    from eventfold.operators.lookup import of_key
+
+    for key in ("hot", "k1"):
+        for one, all_ in ((billing.billing_of, billing.billing_aggregate), (chasers.chaser_of, chasers.chaser_aggregate)):
+            got = one(log, key, page_size=50, run_bits=6).collect()
+            expected = of_key(all_(log, page_size=50), key).collect()
+            assert sorted(got, key=lambda r: r.page) == sorted(expected, key=lambda r: r.page)
+
+
+def test_runs_of_a_topic_hold_offsets():
+    from eventfold.functions.ordered import RUN_BITS
+    from eventfold.sources.log import run_bits_of
+
+    assert run_bits_of(Log(partitions=1)) == RUN_BITS
+    bits = run_bits_of(Log(partitions=1000))
+    assert 2**RUN_BITS <= 2**bits / 1000 < 2 ** (RUN_BITS + 1)
 
 
 def below(lines, i):

@@ -272,3 +272,49 @@ def test_log_sources(spark, events):
     assert read_events(spark, Log(path=path), streaming=True).isStreaming
     with pytest.raises(ValueError, match="no such log format"):
         read_events(spark, Log(format="csv", path=path))
+
+
+def streamed(spark, batches, start):
+    """Play lists of events, one micro-batch each."""
+    path = scratch(spark, "log")
+    for batch in batches:
+        frame(spark, batch).write.mode("append").parquet(path)
+        start(read_events(spark, Log(path=path), streaming=True)).awaitTermination()
+
+
+@pytest.mark.parametrize(
+    "batches",
+    [
+        [[failed("k", 1, "P1"), failed("k", 3, "P2")], [request("k", 2, "P1")]],
+        [[request("k", 5, "P1")], [failed("k", 3, "P1")]],
+        [[bill("k", 4), request("k", 6, "P1")], [request("k", 2, "P2"), failed("k", 1, "P2")]],
+    ],
+)
+def test_late_events_are_applied_late(spark, batches):
+    table, checkpoint = scratch(spark, "billing"), scratch(spark, "checkpoint")
+    streamed(spark, batches, lambda s: streams.stream_billing(s, table, checkpoint))
+    arrived = [
+        {**e, "seq": i}
+        for i, e in enumerate(e for batch in batches for e in sorted(batch, key=lambda e: e["seq"]))
+    ]
+    expected, _ = fold.billing_states(arrived)
+    got = records(streams.current_billing(spark, table), "paymentRequests")
+    assert {
+        k: (s["bill"], listed, s["lastPaymentFailed"], s["errored"]) for k, (listed, s) in got.items()
+    } == expected
+    streams.compact_billing(spark, table, f"{table}-2")
+    again = records(streams.current_billing(spark, f"{table}-2"), "paymentRequests")
+    assert again == got
+
+
+def test_tables_can_be_read_before_the_first_batch(spark):
+    path = scratch(spark, "log")
+    frame(spark, []).write.parquet(path)
+    for start, read in (
+        (streams.stream_counts, streams.current_counts),
+        (streams.stream_chasers, streams.current_chasers),
+        (streams.stream_billing, streams.current_billing),
+    ):
+        table = scratch(spark, "table")
+        start(read_events(spark, Log(path=path), streaming=True), table, scratch(spark, "c")).awaitTermination()
+        assert read(spark, table).count() == 0
