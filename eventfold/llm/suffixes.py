@@ -16,9 +16,11 @@ whose anchor's bytes occur once in the corpus has nothing that repeats.
 3. Within a range, the suffixes at all starts of the segments of one anchor are sorted by
    multikey quicksort: by eight bytes at a time, each time within groups still equal, leaving
    groups of one. What is left after the last eight bytes repeats. The bytes decide, no hash.
-4. An anchor may be in a third of all documents. From ``HOT`` occurrences on, its windows are
-   counted instead of gathered: by two hashes of 64 bits each, with partial sums before the
-   shuffle, and joined back to where they are. No task holds all of them.
+4. An anchor may be in a third of all documents. From ``HOT`` occurrences on, its segments are
+   not gathered. Their windows are compared by two hashes of 64 bits each: first where they
+   are, batch by batch, which settles what repeats within one; then each batch sends a window
+   once at most, to the part its hash falls in. So a window of any number of copies reaches a
+   part no more often than there are batches, and there are as many parts as windows need.
 5. Spans go back to their documents, which cut them out.
 
 Matches never cross documents. Windows are judged on the input, whatever else is removed.
@@ -39,14 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventfold.llm.bitmaps import bitmap_of, marked, no_marks
 from eventfold.llm.common import kept_table, row_key, whole
 
 GRAM = 32
 HOT = 4_096
 SLICE = 1 << 19  # starts looked at together
 SORTED_AT_ONCE = 1 << 19  # suffixes
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # of a bitmap: 16 MB
-CHUNK = 1 << 16  # bytes of a bitmap in one row
+WINDOWS_AT_ONCE = 1 << 19  # of hot anchors, compared in a batch
+WINDOWS_OF_PART = 1 << 21  # and about as many in a part, of 40 bytes each
 SAMPLE = 100_000  # leading bytes that splitters are drawn from
 OUT_BYTES = 8 << 20
 GIVEN_AT_ONCE = 20_000
@@ -116,51 +119,6 @@ def segments(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield new + begin, last + begin, anchor + begin, grams[anchor]
 
 
-def _marked(grams: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = grams & np.uint64(8 * len(bitmap) - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap_of(hashes: DataFrame, count: int) -> np.ndarray:
-    """A bitmap with the bit of each hash set, of 16 bits a hash and bounded size."""
-    bits = LEAST_BITS
-    while bits < min(16 * count, MOST_BITS):
-        bits *= 2
-    size = min(CHUNK, bits // 8)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
-            np.bitwise_or.at(
-                own, (at >> np.uint64(3)).astype(np.int64), 1 << (at & np.uint64(7)).astype(np.uint8)
-            )
-        parts = own.reshape(-1, size)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_pydict(
-            {"part": used.astype(np.int32), "own": [parts[i].tobytes() for i in used]},
-            schema=pa.schema([("part", pa.int32()), ("own", pa.binary())]),
-        )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bits_of = np.frombuffer(own, np.uint8)
-                parts[part] = parts[part] | bits_of if part in parts else bits_of
-        yield pa.RecordBatch.from_pydict(
-            {"part": list(parts), "own": [p.tobytes() for p in parts.values()]},
-            schema=pa.schema([("part", pa.int32()), ("own", pa.binary())]),
-        )
-
-    kind = "part int, own binary"
-    marks = hashes.mapInArrow(mark, kind).repartition("part").mapInArrow(join, kind)
-    out = np.zeros(bits // 8, np.uint8)
-    for row in marks.collect():  # at most MOST_BITS in all
-        out[row.part * size : (row.part + 1) * size] = np.frombuffer(row.own, np.uint8)
-    return out
-
-
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     """``gram, lead, times`` of anchors that occur again; ``lead`` is their first eight bytes."""
 
@@ -267,7 +225,7 @@ def marked_segments(
             for kid, kth, text in zip(*columns):
                 data = text.encode()
                 for first, last, anchor, gram in segments(data, length):
-                    some = np.flatnonzero(_marked(gram, marks) & ~_marked(gram, hot))
+                    some = np.flatnonzero(marked(gram, marks) & ~marked(gram, hot))
                     for i in some.tolist():
                         b, a = int(first[i]), int(anchor[i])
                         own = data[b : int(last[i]) + length]
@@ -342,36 +300,92 @@ def _sorted_spans(length: int):
     return look
 
 
-def hot_spans(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """Spans of the windows of hot anchors that occur again, each window counted by its hash."""
+WINDOWS = pa.schema([("part", pa.int32()), *SPANS, ("packed", pa.binary())])
+WINDOWS_DDL = f"part int, {SPANS_DDL}, packed binary"
+
+
+def _repeats(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal hashes together, which of it are first, and how many are equal."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(one[order].view(np.int64)) != 0) | (np.diff(two[order].view(np.int64)) != 0)
+    sizes = np.diff(np.append(np.flatnonzero(new), len(order)))
+    return order, new, np.repeat(sizes, sizes)
+
+
+def _spans_of(kid: np.ndarray, kth: np.ndarray, start: np.ndarray, length: int) -> list[tuple]:
+    """The spans of windows at these starts, by document."""
+    order = np.lexsort((start, kth, kid))
+    kid, kth, start = kid[order], kth[order], start[order]
+    edges = np.flatnonzero((np.diff(kid) != 0) | (np.diff(kth) != 0)) + 1
+    out = []
+    for b, e in zip([0, *edges.tolist()], [*edges.tolist(), len(start)]):
+        if e > b:
+            out += [(int(kid[b]), int(kth[b]), *span) for span in runs(start[b:e], length)]
+    return out
+
+
+def hot_spans(docs: DataFrame, length: int, hot: np.ndarray, parts: int) -> DataFrame:
+    """Spans of the windows of hot anchors that occur again."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(hot)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+    def settled(held: list[tuple]) -> pa.RecordBatch:
+        """What repeats in a batch, as spans; each of its windows once, dealt to parts."""
+        one, two, kid, kth, start = (np.concatenate(x) for x in zip(*held))
+        order, new, sizes = _repeats(one, two)
+        again = order[sizes > 1]
+        rows = [(None, *x, None) for x in _spans_of(kid[again], kth[again], start[again], length)]
+        first, alone = order[new], sizes[new] == 1
+        table = np.stack(
+            [one[first].view(np.int64), two[first].view(np.int64), kid[first], kth[first]]
+            + [np.where(alone, start[first], -1)]  # no start: it is settled here
+        )
+        part = (one[first] % np.uint64(parts)).astype(np.int64)
+        for p in range(parts):
+            own = table[:, part == p]
+            if own.size:
+                rows.append((p, None, None, None, None, own.tobytes()))
+        return pa.RecordBatch.from_pydict(dict(zip(WINDOWS.names, zip(*rows))), schema=WINDOWS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, held, size = shared.value, [], 0
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("kid", "kth", "text"))
             for kid, kth, text in zip(*columns):
                 data = text.encode()
                 for first, last, _, gram in segments(data, length):
-                    for i in np.flatnonzero(_marked(gram, hot)).tolist():
+                    for i in np.flatnonzero(marked(gram, hot)).tolist():
                         b, n = int(first[i]), int(last[i] - first[i]) + 1
-                        one, two = window_hashes(
-                            np.frombuffer(data[b : b + n + length - 1], np.uint8), length
-                        )
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-                            + [pa.array(np.full(n, x, np.int64)) for x in (kid, kth)]
-                            + [pa.array(np.arange(b, b + n))],
-                            ["one", "two", "kid", "kth", "start"],
-                        )
+                        own = np.frombuffer(data[b : b + n + length - 1], np.uint8)
+                        keys = np.full(n, kid, np.int64), np.full(n, kth, np.int64)
+                        held.append((*window_hashes(own, length), *keys, np.arange(b, b + n)))
+                        size += n
+                        if size >= WINDOWS_AT_ONCE:
+                            yield settled(held)
+                            held, size = [], 0
+        if held:
+            yield settled(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(np.frombuffer(packed, np.int64).reshape(5, -1))
+        for part in list(held):
+            one, two, kid, kth, start = np.concatenate(held.pop(part), axis=1)
+            order, new, sizes = _repeats(one.view(np.uint64), two.view(np.uint64))
+            of = np.cumsum(new) - 1
+            known = np.bincount(of, weights=start[order] < 0)[of] > 0
+            again = order[((sizes > 1) | known) & (start[order] >= 0)]
+            if rows := _spans_of(kid[again], kth[again], start[again], length):
+                yield pa.RecordBatch.from_pydict(dict(zip(SPANS.names, zip(*rows))), schema=SPANS)
 
     rows = docs.select(*row_key(), whole().alias("text")).where(F.octet_length("text") >= length)
-    windows = rows.mapInArrow(look, "one long, two long, kid long, kth long, start long")
-    windows = kept_table(spark, windows, "windows")
-    again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    found = windows.join(again, ["one", "two"])
-    return found.select("kid", "kth", F.col("start").alias("b"), (F.col("start") + length).alias("e"))
+    dealt = kept_table(spark, rows.mapInArrow(deal, WINDOWS_DDL), "windows")
+    sent = dealt.where("packed IS NOT NULL").select("part", "packed").repartition("part")
+    here = dealt.where("packed IS NULL").select(*SPANS.names)
+    return here.unionAll(sent.mapInArrow(meet, SPANS_DDL))
 
 
 def repeated_spans(docs: DataFrame, length: int, hot_from: int = HOT) -> DataFrame:
@@ -379,16 +393,21 @@ def repeated_spans(docs: DataFrame, length: int, hot_from: int = HOT) -> DataFra
     spark = docs.sparkSession
     anchors = anchor_counts(docs, length)
     counts = anchors.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("times") >= hot_from, 1)).alias("hot")
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("times") >= hot_from, 1)).alias("hot"),
+        F.sum(F.when(F.col("times") >= hot_from, F.col("times"))).alias("segments"),
     ).first()
     marks = bitmap_of(anchors.select("gram"), counts.n)
     hot_anchors = anchors.where(F.col("times") >= hot_from).select("gram")
-    hot = bitmap_of(hot_anchors, counts.hot) if counts.hot else np.zeros(LEAST_BITS // 8, np.uint8)
+    hot = bitmap_of(hot_anchors, counts.hot) if counts.hot else no_marks()
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = marked_segments(docs, length, marks, hot, _splitters(anchors, ranges))
-    dealt = marked.repartition("bucket").sortWithinPartitions("bucket", "lead", "seg")
+    found = marked_segments(docs, length, marks, hot, _splitters(anchors, ranges))
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket", "lead", "seg")
     spans = dealt.drop("bucket").mapInArrow(_sorted_spans(length), SPANS_DDL)
-    return spans.unionAll(hot_spans(docs, length, hot)) if counts.hot else spans
+    if not counts.hot:
+        return spans
+    parts = 1 + counts.segments * length // 2 // WINDOWS_OF_PART
+    return spans.unionAll(hot_spans(docs, length, hot, parts))
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

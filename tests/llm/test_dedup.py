@@ -142,9 +142,12 @@ def test_slices_and_chunks_do_not_matter(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "SLICE", 97)
     monkeypatch.setattr(suffixes, "SORTED_AT_ONCE", 50)
     monkeypatch.setattr(suffixes, "GIVEN_AT_ONCE", 3)
-    got = suffixes.without_repeats(docs, 100).collect()
-    spans = [(r.doc_id, r.n_bytes, repr([[s.b, s.e] for s in r.spans]), bytes(r.kept)) for r in got]
-    assert plain(spans) == plain(brute_spans(texts(), 100))
+    monkeypatch.setattr(suffixes, "WINDOWS_AT_ONCE", 150)
+    monkeypatch.setattr(suffixes, "WINDOWS_OF_PART", 100)
+    for hot in (4096, 2):
+        got = suffixes.without_repeats(docs, 100, hot_from=hot).collect()
+        spans = [(r.doc_id, r.n_bytes, repr([[s.b, s.e] for s in r.spans]), bytes(r.kept)) for r in got]
+        assert plain(spans) == plain(brute_spans(texts(), 100))
 
 
 def test_windows_share_their_anchor_wherever_they_are():
