@@ -16,6 +16,7 @@ from eventfold.sources.avro_body import body_reader, body_writer
 
 MAGIC_HEX = "00"
 HEADER_BYTES = 5
+BROADCAST_SCHEMAS = 10_000
 
 
 def encode_frames(events: DataFrame, ids: dict[str, int]) -> DataFrame:
@@ -37,13 +38,16 @@ def _schema_id(value: Column) -> Column:
 def read_headers(frames: DataFrame, catalog: DataFrame) -> DataFrame:
     """Add ``kind`` and ``reject_reason`` to frames, checks in the order of the reasons.
 
-    The catalog has one row per record type and is broadcast.
+    The catalog has one row per record type, and is broadcast unless it is larger than any
+    number of types would make it.
     """
     size = F.octet_length("value")
     has_header = size > HEADER_BYTES
     magic = F.hex(F.substring("value", 1, 1)) == MAGIC_HEX
     schema_id = F.when(has_header & magic, _schema_id(F.col("value")))
-    known = F.broadcast(catalog.select("schema_id", "kind"))
+    known = catalog.select("schema_id", "kind")
+    if known.limit(BROADCAST_SCHEMAS + 1).count() <= BROADCAST_SCHEMAS:
+        known = F.broadcast(known)
     return (
         frames.withColumn("schema_id", schema_id)
         .join(known, "schema_id", "left")
