@@ -12,16 +12,22 @@ frequent in the corpus last, so passages that many documents share rarely meet i
 frequent ones are counted over all documents by lossy counting, and the top ``FREQUENT`` of them
 broadcast; which ones make it changes the order and so the work, but no result.
 
-1. Groups. Classes that share a prefix token are compared with the least class of that token and
-   with the one before them, in the order of sizes: two comparisons a token, however many share
-   it. The components of the links found are the groups. All their links are real links.
+1. Groups. Classes that share a prefix token are compared with the most central one of them and
+   with the one before them in that order: two comparisons a token, however many share it. A
+   class is the more central the earlier it has the token, that is, the fewer rare tokens of its
+   own it has, so near copies of one text meet its plainest copy. The components of the links
+   found are the groups. All their links are real links.
 2. Matrix. Tokens of more than one group remain. A class and another group qualify by size and
    by two shared tokens; only members of qualifying groups that share two themselves, and were
    not compared before, are opened. What links is joined to the groups.
 
-Every pair that could link is so compared or already connected. Comparing is exact on the sets:
-those of the partners of one class stream past its own, and a class of many partners is dealt
-to several tasks. Nothing is collected but the bounded list of frequent tokens.
+Every pair that could link is so compared or already connected. Before sets are compared, a
+bound weeds pairs out: tokens fall into ``GROUPS`` groups by hash, and two classes cannot share
+more than the lesser of their counts in each. Only sets of what is left are made again from the
+texts, found by a bitmap of bounded size in one more pass, so no text is shuffled. Comparing is
+exact on the sets: those of the partners of one class stream past its own, and a class of many
+partners is dealt to several tasks. Nothing is collected but the bounded list of frequent tokens
+and the bitmap.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing, its own id
 being its component; repeated rows link, each giving a row; a null id takes part, and is never
@@ -36,7 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from eventfold.llm.bitmaps import bitmap_of, marked
 from eventfold.llm.common import NO_ID, kept_table, row_key, whole
 from eventfold.llm.components import components
 from eventfold.llm.fingerprints import WordHashes, shingle_hashes
@@ -46,6 +54,7 @@ FREQUENT = 262_144
 COUNTED_AT_ONCE = 4_000_000  # tokens: 32 MB
 AT_ONCE = 500_000  # rows given back in one batch
 PARTNERS = 256  # of a class in one task
+GROUPS = 256  # of tokens, by their first eight bits
 
 
 def _sets(text: str, hashes: WordHashes, words: int) -> np.ndarray:
@@ -56,10 +65,16 @@ def _class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-SIZES = "kid long, kth long, cls long, n int, token long, times long"
+def counts_of(tokens: np.ndarray) -> bytes:
+    """How many tokens are in each group; 255 stands for that and more."""
+    counts = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+SIZES = "kid long, kth long, cls long, n int, counts binary, token long, times long"
 _SIZES = pa.schema(
     [("kid", pa.int64()), ("kth", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())]
-    + [("token", pa.int64()), ("times", pa.int64())]
+    + [("counts", pa.binary()), ("token", pa.int64()), ("times", pa.int64())]
 )
 
 
@@ -78,15 +93,16 @@ def sizes_and_counts(docs: DataFrame, words: int) -> DataFrame:
             often = times > 1
             token, times = token[often].view(np.int64), times[often]
             none = pa.nulls(len(token))
-            columns = [none.cast(t) for t in _SIZES.types[:4]] + [pa.array(token), pa.array(times)]
+            columns = [none.cast(t) for t in _SIZES.types[:5]] + [pa.array(token), pa.array(times)]
             return pa.RecordBatch.from_arrays(columns, schema=_SIZES)
 
         for batch in batches:
-            cls, n = [], []
+            cls, n, groups = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = _sets(text, hashes, words)
                 cls.append(_class(tokens))
                 n.append(len(tokens))
+                groups.append(counts_of(tokens))
                 if (cls[-1], n[-1]) not in seen and len(tokens):
                     seen.add((cls[-1], n[-1]))
                     held.append(tokens)
@@ -96,7 +112,8 @@ def sizes_and_counts(docs: DataFrame, words: int) -> DataFrame:
                         seen, held, size = set(), [], 0
             none = pa.nulls(len(n))
             columns = [batch.column("kid"), batch.column("kth"), pa.array(cls, pa.int64())]
-            columns += [pa.array(n, pa.int32()), none.cast(pa.int64()), none.cast(pa.int64())]
+            columns += [pa.array(n, pa.int32()), pa.array(groups, pa.binary())]
+            columns += [none.cast(pa.int64()), none.cast(pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=_SIZES)
         if held:
             yield counted()
@@ -133,7 +150,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, percent:
 
 
 def matrix_tokens(docs: DataFrame, words: int, percent: int, counts: DataFrame) -> DataFrame:
-    """``token, cls, n`` for the prefix of each document's set."""
+    """``token, cls, n, pos`` for the prefix of each document's set, in order of ``pos``."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(counts))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +163,9 @@ def matrix_tokens(docs: DataFrame, words: int, percent: int, counts: DataFrame)
                     pa.array(np.concatenate(out).view(np.int64)),
                     pa.array(np.repeat(np.array(cls, np.int64), lengths)),
                     pa.array(np.repeat(np.array(n, np.int32), lengths)),
+                    pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])),
                 ],
-                ["token", "cls", "n"],
+                ["token", "cls", "n", "pos"],
             )
 
         seen: set[tuple[int, int]] = set()
@@ -170,7 +188,7 @@ def matrix_tokens(docs: DataFrame, words: int, percent: int, counts: DataFrame)
         if out:
             yield given(out, cls, n)
 
-    return docs.select(whole().alias("text")).mapInArrow(look, "token long, cls long, n int")
+    return docs.select(whole().alias("text")).mapInArrow(look, "token long, cls long, n int, pos int")
 
 
 def _node(cls: str = "cls", n: str = "n") -> Column:
@@ -178,55 +196,113 @@ def _node(cls: str = "cls", n: str = "n") -> Column:
     return F.struct(F.col(n).alias("n"), F.col(cls).alias("cls"))
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """How many tokens sets of these sizes must share."""
+    return F.ceil((n.cast("long") + m) * percent / (100 + percent))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two classes that share a token can be similar enough, by sizes and positions.
+
+    ``a`` and ``b`` are structs of ``n`` and ``pos``. What is shared begins early in both.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    needed = _needed(n, m, percent)
+    early = [F.col(f"{x}.pos") < F.col(f"{x}.n") - needed + SHARED for x in (a, b)]
+    return (needed <= F.least(n, m)) & early[0] & early[1]
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens of more than one class: ``token, node, first, before`` (nodes of the same token)."""
+    """Tokens of more than one class, most central class first.
+
+    ``token, own, first, before``: structs of ``central, n, cls, pos`` of classes with the token.
+    """
     by = Window.partitionBy("token")
-    placed = tokens.select("token", _node().alias("node")).select(
+    central = F.floor(F.col("pos").cast("long") * 1_000_000 / F.col("n")).cast("int").alias("central")
+    placed = tokens.select("token", F.struct(central, "n", "cls", "pos").alias("own")).select(
         "token",
-        "node",
-        F.min("node").over(by).alias("first"),
-        F.max("node").over(by).alias("last"),
-        F.lag("node").over(by.orderBy("node")).alias("before"),
+        "own",
+        F.min("own").over(by).alias("first"),
+        F.max("own").over(by).alias("last"),
+        F.lag("own").over(by.orderBy("own")).alias("before"),
     )
-    return placed.where("first <> last AND (before IS NULL OR before <> node)").drop("last")
+    return placed.where("first <> last AND (before IS NULL OR before <> own)").drop("last")
+
+
+def first_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """The two comparisons of each class of a token: ``a, b``."""
+
+    def met(other: str) -> DataFrame:
+        rows = tokens.where(f"{other} <> own").where(_may_link(other, "own", percent))
+        return rows.select(
+            _node(f"{other}.cls", f"{other}.n").alias("a"), _node("own.cls", "own.n").alias("b")
+        )
+
+    return met("first").unionAll(met("before")).distinct()
+
 
+def classes_of(sizes: DataFrame) -> DataFrame:
+    """``node, key, counts``: each class, and the key of a document that stands for it."""
+    key = F.min(F.struct("kid", "kth")).alias("k")
+    found = sizes.groupBy(_node().alias("node")).agg(key, F.first("counts").alias("counts"))
+    found = found.select("node", F.xxhash64("k.kid", "k.kth").alias("key"), "counts")
+    return kept_table(sizes.sparkSession, found, "classes")
 
-def _pairs(candidates: DataFrame, percent: int) -> DataFrame:
-    return candidates.where(_fits(F.col("a.n"), F.col("b.n"), percent)).distinct()
 
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may be similar enough by how many tokens they have in each group."""
+    kind = pairs.schema["a"].dataType
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("counts").alias(f"of_{name}"))
+    met = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
 
-def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS)
+                for c in ("of_a", "of_b")
+            )
+            n, m = (batch.column(c).field("n").to_numpy().astype(np.int64) for c in ("a", "b"))
+            both = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+            may = 100 * both >= percent * (n + m - both)
+            may |= (one == 255).any(axis=1) | (two == 255).any(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return met.mapInArrow(look, T.StructType().add("a", kind).add("b", kind))
+
+
+def verified(
+    docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int
+) -> DataFrame:
     """The pairs ``a, b`` whose sets are similar enough, exactly."""
     spark = docs.sparkSession
+    pairs = kept_table(spark, bounded(pairs, classes, percent), "bounded")
     wanted = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    rows = (
-        sizes.groupBy(_node().alias("node"))
-        .agg(F.min(F.struct("kid", "kth")).alias("k"))
-        .join(wanted, "node")
-        .select("node", "k.kid", "k.kth")
-    )
-    texts = docs.select(*row_key(), whole().alias("text")).join(rows, ["kid", "kth"])
+    keys = kept_table(spark, classes.join(wanted, "node").select("key"), "wanted")
+    marks = spark.sparkContext.broadcast(bitmap_of(keys, keys.count()))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [_sets(t, hashes, words).tobytes() for t in batch.column("text").to_pylist()]
+            some = marked(batch.column("key").to_numpy().view(np.uint64), marks.value)
+            sets = [
+                _sets(text, hashes, words)
+                for text in batch.column("text").filter(pa.array(some)).to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("n"), pa.array(sets, pa.large_binary())],
+                [
+                    pa.array([_class(x) for x in sets], pa.int64()),
+                    pa.array([len(x) for x in sets], pa.int32()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
                 ["cls", "n", "tokens"],
             )
 
-    sets = texts.select("node.cls", "node.n", "text").mapInArrow(
-        look, "cls long, n int, tokens binary"
-    )
-    # a repeated document gives its set twice; the first is as good
-    sets = sets.groupBy(_node().alias("node")).agg(F.first("tokens").alias("tokens"))
-    sets = kept_table(spark, sets, "sets")
+    texts = docs.select(*row_key(), whole().alias("text"))
+    texts = texts.select(F.xxhash64("kid", "kth").alias("key"), "text")
+    sets = texts.mapInArrow(look, "cls long, n int, tokens binary")
+    sets = kept_table(spark, sets.select(_node().alias("node"), "tokens"), "sets")
     # a class of many partners is dealt to several tasks, its own set to each
     deals = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("deals"))
     dealt = pairs.join(deals, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")))
@@ -262,13 +338,14 @@ def verified(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, words: int, pe
                 )
 
     links = flat.mapInArrow(compare, "n int, cls long, bn int, bcls long")
-    return kept_table(spark, links.select(_node().alias("a"), _node("bcls", "bn").alias("b")), "links")
+    links = links.select(_node().alias("a"), _node("bcls", "bn").alias("b"))
+    return kept_table(spark, links.distinct(), "links")  # repeated documents give theirs twice
 
 
 def open_groups(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different groups that may still link.
 
-    ``tokens`` is ``token, node``, ``groups`` is ``node, label``; a class in no group is one.
+    ``tokens`` is ``token, node, pos``, ``groups`` is ``node, label``; a class in no group is one.
     """
     spark = tokens.sparkSession
     placed = tokens.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -277,29 +354,37 @@ def open_groups(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame
         "*", F.min("label").over(by).alias("least"), F.max("label").over(by).alias("most")
     )
     apart = kept_table(
-        spark, placed.where("least <> most").select("token", "node", "label"), "matrix"
+        spark, placed.where("least <> most").select("token", "node", "pos", "label"), "matrix"
     )
     matrix = apart.groupBy("token", F.col("label").alias("group")).agg(
         F.min("node.n").alias("low"), F.max("node.n").alias("high")
     )
-    n, low, high = F.col("node.n").cast("long"), F.col("low"), F.col("high")
-    near = (100 * high >= percent * n) & (100 * n >= percent * low)
+    n, low, high = (F.col(c).cast("long") for c in ("node.n", "low", "high"))
+    least = F.greatest(low, F.ceil(n * percent / 100))  # the smallest member that could link
+    early = F.col("pos") < n - _needed(n, least, percent) + SHARED
+    near = (100 * high >= percent * n) & (100 * n >= percent * low) & early
     qualified = (
         apart.join(matrix, "token")
         .where((F.col("group") < F.col("label")) & near)
         .groupBy("node", "group")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
+        .where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(n * percent / 100)))
         .select(F.col("node").alias("a"), "group")
     )
-    mine = apart.select("token", F.col("node").alias("a")).join(qualified, "a")
-    members = apart.select("token", F.col("label").alias("group"), F.col("node").alias("b"))
+    own = apart.select("token", F.col("node").alias("a"), F.struct("node.n", "pos").alias("x"))
+    mine = own.join(qualified, "a")
+    members = apart.select(
+        "token",
+        F.col("label").alias("group"),
+        F.col("node").alias("b"),
+        F.struct("node.n", "pos").alias("y"),
+    )
     return (
         mine.join(members, ["token", "group"])
-        .where(_fits(F.col("a.n"), F.col("b.n"), percent))
+        .where(_may_link("x", "y", percent))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= SHARED)
+        .where(F.col("shared") >= F.least(F.lit(SHARED), _needed(F.col("a.n"), F.col("b.n"), percent)))
         .select("a", "b")
     )
 
@@ -314,17 +399,16 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sizes, counts = looked.where("cls IS NOT NULL"), looked.where("cls IS NULL")
     tokens = shared_tokens(matrix_tokens(docs, words, percent, counts))
     tokens = kept_table(spark, tokens, "tokens")
-    met = tokens.select(F.col("first").alias("a"), F.col("node").alias("b")).unionAll(
-        tokens.select(F.col("before").alias("a"), F.col("node").alias("b"))
-    )
-    tried = kept_table(spark, _pairs(met.where("a <> b"), percent), "pairs")
-    links = verified(docs, sizes, tried, words, percent)
+    classes = classes_of(sizes)
+    tried = kept_table(spark, first_pairs(tokens, percent), "pairs")
+    links = verified(docs, classes, tried, words, percent)
     groups = components(links)
-    left = open_groups(tokens.select("token", "node"), groups, percent)
+    placed = tokens.select("token", _node("own.cls", "own.n").alias("node"), "own.pos")
+    left = open_groups(placed, groups, percent)
     both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = kept_table(spark, left.join(both, ["a", "b"], "left_anti"), "pairs")
     if left.head(1):
-        links = links.unionAll(verified(docs, sizes, left, words, percent))
+        links = links.unionAll(verified(docs, classes, left, words, percent))
         groups = components(links)
     placed = sizes.withColumn("node", _node()).join(groups, "node", "left")
     placed = placed.select(
