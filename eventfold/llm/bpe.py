@@ -7,9 +7,10 @@ neighbouring pairs in a literal rank map and takes the bound between the best ou
 a literal array of small maps, found by hash, as Spark looks a map's keys up one by one.
 
 Texts are not exploded. Words that are frequent in a bounded sample are folded first, and their
-codes are broadcast. One pass then turns each text into codes, and into a list of the distinct
-words it could not find. Only those are shuffled: to be folded once each, wherever they come
-from, and back to their document, which puts its ids together.
+codes are broadcast. One pass then turns each text into packed codes and a list of the distinct
+words it could not find, and deals both by document, once, for two uses. The words are dealt to
+be folded once each, wherever they come from, and back to their document, which puts its ids
+together.
 
 Words of more than ``LONG`` bytes would take the fold a number of steps that is quadratic in
 their length; they are merged with a heap instead, to the same ids.
@@ -34,11 +35,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import bounded_sample, kept_table, whole
+from eventfold.llm.common import bounded_sample, whole
 
 # Documented bounds: rows of the sample, words whose codes are broadcast, their bytes.
 SAMPLE_ROWS = 32_768
-FREQUENT = 524_288
+FREQUENT = 262_144
 WORD_BYTES = 64
 LONG = 512
 BUCKETS = 16_384
@@ -148,15 +149,15 @@ def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = read_ranks(ranks_path)
         for batch in batches:
-            ids = [merged_with_heap(w.encode(), known) for w in batch.column(0).to_pylist()]
+            data = [w.encode() for w in batch.column(0).to_pylist()]
+            ids = [merged_with_heap(w, known) if len(w) > LONG else None for w in data]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"]
             )
 
-    short = words.where(F.octet_length("word") <= LONG)
-    long = words.where(F.octet_length("word") > LONG)
-    ids = short.select("word", folded(F.col("word"), rank_map(ranks)).alias("ids"))
-    return ids.unionAll(long.mapInArrow(merge, "word string, ids array<int>"))
+    long = words.select("word").mapInArrow(merge, "word string, ids array<int>")
+    ids = F.when(F.col("ids").isNull(), folded(F.col("word"), rank_map(ranks)))
+    return long.select("word", ids.otherwise(F.col("ids")).alias("ids"))
 
 
 def frequent_codes(docs: DataFrame, pattern: str, ranks_path: str) -> pa.Table:
@@ -201,21 +202,26 @@ def _unpacked(data: bytes, press: zstandard.ZstdDecompressor) -> list[int]:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().tolist()
 
 
-def _table(spark, words: pa.Table):
-    """What workers need of the frequent words, broadcast in compact form."""
-    ids = words.column("ids").combine_chunks()
-    packed = [np.asarray(x, "<u4").tobytes() for x in ids.to_pylist()]
-    return spark.sparkContext.broadcast((words.column("word").to_pylist(), packed))
+_made: dict[str, tuple] = {}
+
+
+def _once(name: str, shared, make):
+    """What a worker makes of a broadcast value, once."""
+    if name not in _made or _made[name][0] is not shared.value:
+        _made[name] = shared.value, make(shared.value)
+    return _made[name][1]
 
 
-_places: list = [None, {}]
+def _places(words: pa.Table) -> dict[str, int]:
+    return {w: i for i, w in enumerate(words.column("word").to_pylist())}
 
 
-def _places_of(shared) -> dict[str, int]:
-    """Word to place, made once per worker."""
-    if _places[0] is not shared.value:
-        _places[:] = shared.value, {w: i for i, w in enumerate(shared.value[0])}
-    return _places[1]
+def _packed_ids(words: pa.Table) -> list[bytes]:
+    """The ids of each word, as bytes."""
+    ids = words.column("ids").combine_chunks()
+    ends = ids.offsets.to_numpy() * 4
+    data = ids.values.to_numpy().astype("<u4").tobytes()
+    return [data[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -244,10 +250,12 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ``ids`` are little-endian 32-bit integers; ``decoded`` is what they decode to.
     """
     spark = docs.sparkSession
-    shared = _table(spark, frequent_codes(docs, pattern, ranks_path))
+    shared = spark.sparkContext.broadcast(
+        frequent_codes(docs, pattern, ranks_path).combine_chunks()
+    )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, places = regex.compile(pattern).findall, _places_of(shared)
+        find, places = regex.compile(pattern).findall, _once("places", shared, _places)
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             found = [_coded(find(text), places) for text in batch.column("text").to_pylist()]
@@ -267,13 +275,26 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         whole().alias("text"),
     )
     schema = "uid long, doc_id long, codes binary, missed array<string>"
-    coded = kept_table(spark, rows.mapInArrow(code, schema), "codes")
-    pairs = coded.select("uid", F.posexplode("missed").alias("i", "word"))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = rows.mapInArrow(code, schema).repartition(dealt, "uid")
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            missed = batch.column("missed")
+            n = np.diff(missed.offsets.to_numpy())
+            uid = np.repeat(batch.column("uid").to_numpy(), n)
+            i = np.concatenate([np.arange(k, dtype=np.int32) for k in n] or [np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uid), pa.array(i), missed.flatten()], ["uid", "i", "word"]
+            )
+
+    # in Arrow, and with all columns used below: so both uses read one and the same shuffle
+    pairs = coded.mapInArrow(words_of, "uid long, i int, word string")
     rare = encoded_words(pairs.select("word").distinct(), ranks_path)
     back = pairs.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "ids")).alias("rare"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = shared.value[1], _vocabulary(ranks_path)
+        table, vocabulary = _once("ids", shared, _packed_ids), _vocabulary(ranks_path)
         n, press = len(table), zstandard.ZstdDecompressor()
         out, size = [], 0
         for batch in batches:
@@ -290,8 +311,5 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
 
-    return (
-        coded.select("uid", "doc_id", "codes")
-        .join(back, "uid", "left")
-        .mapInArrow(assemble, "doc_id long, ids binary, decoded binary, n_tokens long")
-    )
+    met = coded.join(back, "uid", "left")
+    return met.mapInArrow(assemble, "doc_id long, ids binary, decoded binary, n_tokens long")
