@@ -7,10 +7,10 @@ neighbouring pairs in a literal rank map and takes the bound between the best ou
 a literal array of small maps, found by hash, as Spark looks a map's keys up one by one.
 
 Texts are not exploded. Words that are frequent in a bounded sample are folded first, and their
-codes are broadcast. One pass then turns each text into packed codes and a list of the distinct
-words it could not find, and deals both by document, once, for two uses. The words are dealt to
-be folded once each, wherever they come from, and back to their document, which puts its ids
-together.
+codes are broadcast. One pass then turns texts into packed codes and a list of the distinct
+words it could not find, for some documents at a time, and deals both, once, for two uses. The
+words are dealt to be folded once each, wherever they come from, and back to where they stood,
+which puts the ids of those documents together.
 
 Words of more than ``LONG`` bytes would take the fold a number of steps that is quadratic in
 their length; they are merged with a heap instead, to the same ids.
@@ -42,6 +42,7 @@ SAMPLE_ROWS = 32_768
 FREQUENT = 262_144
 WORD_BYTES = 64
 LONG = 512
+PACKED = 200_000  # words of documents whose codes are packed together, if not of a longer one
 BUCKETS = 16_384
 NONE = 2**31 - 1
 
@@ -242,6 +243,10 @@ OUT = pa.schema(
     [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("n_tokens", pa.int64())]
 )
 OUT_BYTES = 8 << 20
+CODES = pa.schema(
+    [("uid", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
+    + [("codes", pa.binary()), ("missed", pa.list_(pa.string()))]
+)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -256,25 +261,40 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, places = regex.compile(pattern).findall, _once("places", shared, _places)
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
+
+        def packed(uid: int, doc_ids: list, sizes: list[int], words: list[str]) -> pa.RecordBatch:
+            codes, missed = _coded(words, places)
+            row = {
+                "uid": [uid],
+                "doc_ids": [doc_ids],
+                "sizes": [sizes],
+                "codes": [_packed(codes, press)],
+                "missed": [missed],
+            }
+            return pa.RecordBatch.from_pydict(row, schema=CODES)
+
+        first, doc_ids, sizes, words = None, [], [], []
         for batch in batches:
-            found = [_coded(find(text), places) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("uid"),
-                    batch.column("doc_id"),
-                    pa.array([_packed(c, press) for c, _ in found], pa.binary()),
-                    pa.array([m for _, m in found], pa.list_(pa.string())),
-                ],
-                ["uid", "doc_id", "codes", "missed"],
-            )
+            columns = (batch.column(c).to_pylist() for c in ("uid", "doc_id", "text"))
+            for uid, doc_id, text in zip(*columns):
+                first = uid if first is None else first
+                found = find(text)
+                doc_ids.append(doc_id)
+                sizes.append(len(found))
+                words += found
+                if len(words) >= PACKED:
+                    yield packed(first, doc_ids, sizes, words)
+                    first, doc_ids, sizes, words = None, [], [], []
+        if doc_ids:
+            yield packed(first, doc_ids, sizes, words)
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         whole().alias("text"),
     )
-    schema = "uid long, doc_id long, codes binary, missed array<string>"
+    schema = "uid long, doc_ids array<long>, sizes array<int>, codes binary, missed array<string>"
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     coded = rows.mapInArrow(code, schema).repartition(dealt, "uid")
 
@@ -298,16 +318,22 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         n, press = len(table), zstandard.ZstdDecompressor()
         out, size = [], 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "codes", "rare"))
-            for doc_id, codes, rare in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "codes", "rare"))
+            for doc_ids, sizes, packed, rare in zip(*columns):
                 own = {n + r["i"]: np.asarray(r["ids"], "<u4").tobytes() for r in rare or ()}
-                ids = b"".join([table[c] if c < n else own[c] for c in _unpacked(codes, press)])
-                text = decoded(ids, vocabulary)
-                out.append((doc_id, ids, text, len(ids) // 4))
-                size += len(ids) + len(text)
-                if size >= OUT_BYTES:
-                    yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
-                    out, size = [], 0
+                codes, at = _unpacked(packed, press), 0
+                for doc_id, length in zip(doc_ids, sizes):
+                    part = codes[at : at + length]
+                    at += length
+                    ids = b"".join([table[c] if c < n else own[c] for c in part])
+                    text = decoded(ids, vocabulary)
+                    out.append((doc_id, ids, text, len(ids) // 4))
+                    size += len(ids) + len(text)
+                    if size >= OUT_BYTES:
+                        yield pa.RecordBatch.from_pydict(
+                            dict(zip(OUT.names, zip(*out))), schema=OUT
+                        )
+                        out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
 
