@@ -45,6 +45,7 @@ LONG = 512
 PACKED = 200_000  # words of documents whose codes are packed together, if not of a longer one
 BUCKETS = 16_384
 NONE = 2**31 - 1
+PLAN_TEXT = 20_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -255,6 +256,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     ``ids`` are little-endian 32-bit integers; ``decoded`` is what they decode to.
     """
     spark = docs.sparkSession
+    # plans hold the rank map; what the driver keeps of their text need not
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     shared = spark.sparkContext.broadcast(
         frequent_codes(docs, pattern, ranks_path).combine_chunks()
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from eventfold.llm.common import bounded_sample, whole
 
 # Documented bounds of the sample: rows, and the largest number of subwords kept of one.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_000
 BUCKETS = 8_192
 DIM = 16
 EPOCHS, BATCH, RATE = 12, 32, 4.0
