@@ -76,3 +76,34 @@ def test_the_same_model_whatever_the_partitions(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     one, two = language.learn(docs), language.learn(docs.repartition(7))
     assert one.languages == two.languages and np.allclose(one.table, two.table)
+
+
+def test_the_share_rejected_is_that_of_all_rows_not_fitted(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(language, "REJECTED", 0.02)
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(30)] for _ in range(5)]
+
+    def text(k):  # a share of its words is of any language
+        own = rng.random()
+        return " ".join(rng.choice(words[k] if rng.random() < own else words[rng.integers(5)]) for _ in range(12))
+
+    rows = [(i, text(i % 5), f"l{i % 5}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    got = language.identified(docs, model).where("NOT held_out").collect()
+    assert 0.1 < model.least < 0.5
+    # some 480 rows fitted are among them
+    assert 0.017 < np.mean([r.rejected for r in got]) <= 0.02
+    held_out = language.identified(docs, model).where("held_out").collect()
+    assert 0.012 < np.mean([r.rejected for r in held_out]) < 0.03
+
+
+@pytest.mark.parametrize(("n", "low"), [(0, 0), (400, 0), (1999, 0), (3999, 1), (10_000, 4)])
+def test_the_least_score(n, low):
+    counts = np.zeros(language.BINS + 1, np.int64)
+    counts[100 : 100 + min(n, 10)] = 1
+    counts[-1] = n - counts.sum()
+    assert language.least_score(counts) == (
+        (100 + low) / language.BINS * language.CEILING if n else language.CEILING
+    )
