@@ -232,6 +232,24 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_a_long_path_in_no_order(spark, seed):
+    rng = random.Random(seed)
+    path = rng.sample(range(100_000), 4_000)
+    edges = [rng.sample(pair, 2) for pair in zip(path, path[1:])]
+    other = rng.sample(range(100_000, 200_000), 800)
+    edges += [(other[rng.randrange(i)], other[i]) for i in range(1, 800)]
+    rng.shuffle(edges)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(path) for i in path} | {i: min(other) for i in other}
+
+
+def test_components_without_links(spark):
+    links = spark.createDataFrame([(3, 3)], "a long, b long")
+    assert components(links).columns == ["node", "label"]
+    assert components(links).count() == components(links.limit(0)).count() == 0
+
+
 def test_empty_tables(no_docs):
     assert jaccard.linked(no_docs, 4, 85).count() == 0
     assert jaccard.one_of_each(no_docs, 4, 85).count() == 0
