@@ -15,17 +15,28 @@ WORDS = re.compile(r"[a-z]+")
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset(
-    "script style noscript template textarea title svg math iframe object select option "
-    "canvas video audio head button".split()
+RAW = frozenset("script style textarea title".split())
+# Left out where they end; without an end tag, only the tag is.
+CLOSED = frozenset("noscript template iframe svg math object select canvas video audio button".split())
+SKIPPED = frozenset("noscript template iframe".split())
+FOREIGN = frozenset("svg math".split())
+SILENT = frozenset("svg button annotation".split())  # no text, and no border of a block
+EMBEDDED = frozenset("object select option canvas video audio head".split())
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
+# What cannot stand in these and closes one left open.
+NARROW = frozenset("svg math button option select".split())
+BREAKS = frozenset(
+    "article main section body p h1 h2 h3 h4 h5 h6 ul ol table header nav footer aside pre blockquote".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "svg math button".split()
 )
 CLOSED_BY_BLOCK = frozenset(["p"])
 # What closes an open element of the same kind that was left open.
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
+SAME |= {"option": "option", "button": "button"}
 SCOPE = frozenset("ul ol dl table tbody thead section article main aside nav div body".split())
 
 CONTENT_TAGS = frozenset("article main".split())
@@ -72,6 +83,8 @@ class _Reader:
     parts: list = field(default_factory=list)
     linked: int = 0
     links: int = 0
+    silent: int = 0
+    foreign: int = 0
     made: int = 0
     block: tuple = (0, 0, "", 0, False)
 
@@ -95,11 +108,13 @@ class _Reader:
         )
 
     def add(self, raw: str) -> None:
-        if not raw:
+        if not raw or self.silent:
             return
         if not self.parts:
             if raw.isspace():
                 return
+            if self.stack and self.stack[-1].tag == "head":
+                self.pop(len(self.stack) - 1)
             self.block = self.context()
         self.parts.append(raw)
         if self.links:
@@ -116,11 +131,26 @@ class _Reader:
     def pop(self, k: int) -> None:
         for e in self.stack[k:]:
             self.links -= e.tag == "a"
+            self.silent -= e.tag in SILENT
+            self.foreign -= e.tag in FOREIGN
         del self.stack[k:]
 
+    def leave(self, tag: str) -> None:
+        """Close what was left open and cannot hold the element that begins."""
+        for k, e in enumerate(self.stack):
+            if e.tag == "foreignobject":
+                break
+            if e.tag == "head" and tag not in IN_HEAD or e.tag in NARROW and tag in BREAKS:
+                return self.pop(k)
+
     def open(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
-            self.flush()
+        self.leave(tag)
+        if self.foreign or tag in FOREIGN:
+            if attributes.endswith("/"):
+                return
+        elif tag not in INLINE or tag == "button":
+            if tag != "button":
+                self.flush()
             closing = SAME.get(tag, "").split()
             for k in range(len(self.stack) - 1, -1, -1):
                 at = self.stack[k].tag
@@ -135,10 +165,12 @@ class _Reader:
             return
         self.made += 1
         self.links += tag == "a"
+        self.silent += tag in SILENT
+        self.foreign += tag in FOREIGN
         self.stack.append(_Element(tag, self.made, *_evidence(tag, attributes)))
 
     def close(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag not in INLINE and not (self.foreign and tag not in BREAKS):
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
@@ -165,7 +197,7 @@ def _evidence(tag: str, attributes: str) -> tuple[int, bool, bool]:
             if name in ("class", "id"):
                 words.update(WORDS.findall(value))
     comment = not words.isdisjoint(("comment", "comments", "disqus", "respond", "replies"))
-    if tag in OTHER_TAGS:
+    if tag in OTHER_TAGS or tag in EMBEDDED:
         return -1, True, comment
     if tag in CONTENT_TAGS:
         return (-1, False, True) if comment else (1, True, False)
@@ -179,6 +211,15 @@ def _evidence(tag: str, attributes: str) -> tuple[int, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in order: text between elements that are not inline."""
     reader, at, n = _Reader(), 0, len(page)
+    ends: dict[str, tuple[int, int]] = {}  # the next end tag of a kind, as last looked for
+
+    def end_of(tag: str) -> int:
+        """Where the next end tag of a kind ends; -1 without one."""
+        if tag not in ends or ends[tag][0] < at and ends[tag][1] >= 0:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            ends[tag] = (end.start(), end.end()) if end else (0, -1)
+        return ends[tag][1]
+
     while at < n:
         found = TOKEN.search(page, at)
         if not found:
@@ -193,9 +234,13 @@ def blocks(page: str) -> list[Block]:
         if slash:
             reader.close(tag)
         elif tag in RAW:
-            reader.flush() if tag not in INLINE else None
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            reader.flush() if tag not in INLINE and not reader.foreign else None
+            at = end_of(tag) if end_of(tag) >= 0 else n
+        elif tag in CLOSED and end_of(tag) < 0 and not (tag in FOREIGN and (found[3] or "").endswith("/")):
+            reader.leave(tag)
+        elif tag in SKIPPED:
+            reader.flush()
+            at = end_of(tag)
         else:
             reader.open(tag, found[3] or "")
     reader.flush()

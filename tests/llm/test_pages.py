@@ -38,6 +38,28 @@ def test_unfinished_markup(page):
     blocks(page)
 
 
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        ("<head><meta x><body><article><p>one</p></article>", ["one"]),
+        ("<head><title>t</title><link><p>one</p>", ["one"]),
+        ("<svg/><article><p>one <svg/>two</p></article><svg></svg>", ["one two"]),
+        ("<article><p>one <svg><path/><text>x</text></svg>two <button>y</button>three</p></article>", ["one two three"]),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", ["let x=1 be"]),
+        ("<svg><path><article><p>one</p></article>", ["one"]),
+        ("<button>Go<article><p>one</p></article>", ["Go", "one"]),
+        ("<datalist><option>a<option>b</datalist><article><p>one</p></article>", ["a", "b", "one"]),
+        ("<noscript><article><p>one</p></article>", ["one"]),
+        ("<iframe src=x><article><p>one</p></article>", ["one"]),
+        ("<video><article><p>one</p></article>", ["one"]),
+    ],
+)
+def test_elements_left_open_or_closed_at_once(page, lines):
+    assert shown(page) == lines
+    if "<article>" in page:
+        assert main_text(page, PRIOR) == "\n".join(x for x in lines if x not in ("Go", "a", "b"))
+
+
 ARTICLE = "<article><h1>Title</h1><p>First, a paragraph of some words.</p><p>Second one, as long as that.</p></article>"
 AROUND = {
     "nav": "<nav><ul><li><a href='/'>Home</a></li></ul></nav>",
