@@ -29,6 +29,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used, also in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kept_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, outlives executors."""
     path = scratch(spark, name)

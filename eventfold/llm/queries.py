@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm import bpe, chat, decontamination
+from eventfold.llm import bpe, chat, decontamination, pii
 from eventfold.llm.common import table
 from eventfold.llm.extraction import main_texts
 from eventfold.llm.fingerprints import fingerprints
@@ -15,6 +15,8 @@ from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
 from eventfold.llm.suffixes import without_repeats
 from eventfold.llm.token_counts import token_counts
+from eventfold.llm.vector_codes import code_rows
+from eventfold.llm.whitening import whitening_rows
 from eventfold.session import prepare
 
 SHARDS = 24
@@ -80,6 +82,18 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(prepare(spark), sf_dir, "documents")))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_rows(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_rows(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": _op1,
@@ -92,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": _op8,
         "op9_fingerprints": _op9,
         "op10_suffix_dedup": _op10,
+        "op11_personal_data": _op11,
+        "op12_vector_codes": _op12,
+        "op13_whitening": _op13,
     }
 
 
