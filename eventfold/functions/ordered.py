@@ -65,12 +65,13 @@ def page_of(position: Column | str, page_size: int = PAGE_SIZE) -> Column:
     return F.floor((position - 1) / page_size).cast("int")
 
 
-def of_each_page(states: DataFrame) -> DataFrame:
-    """A copy of each key's state for every page up to ``last_page``.
+def of_each_page(states: DataFrame, first: Column | None = None) -> DataFrame:
+    """A copy of each key's state for every page from ``first``, or 0, up to ``last_page``.
 
     Pages and states then meet by (key, page): the pages of a hot key stay spread out.
     """
-    return states.withColumn("page", F.explode(F.sequence(F.lit(0), "last_page"))).drop("last_page")
+    first = F.lit(0) if first is None else first
+    return states.withColumn("page", F.explode(F.sequence(first, "last_page"))).drop("last_page")
 
 
 def upto(window):
@@ -89,19 +90,25 @@ def whole(window):
 
 
 def number_in_runs(
-    rows: DataFrame, group: list[str], run: list[str], order: list[Column], name: str
+    rows: DataFrame,
+    group: list[str],
+    run: list[str],
+    order: list[Column],
+    name: str,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, … without gathering a group in one task.
 
     Each (group, run) receives one extra row with the number of rows before it, so the
     running sum inside the run gives the position in the group; the rows themselves are
-    shuffled once.
+    shuffled once. ``start`` has a ``count`` for groups that go on from an earlier one.
     """
     earlier = before(Window.partitionBy(*group).orderBy(*run))
+    counts = rows.groupBy(*group, *run).count()
+    if start is not None:  # without a run, so it comes first
+        counts = counts.unionByName(start.select(*group, "count"), allowMissingColumns=True)
     carried = (
-        rows.groupBy(*group, *run)
-        .count()
-        .select(*group, *run, F.sum("count").over(earlier).alias("_carry"))
+        counts.select(*group, *run, F.sum("count").over(earlier).alias("_carry"))
         .where("_carry IS NOT NULL")
     )
     inside = Window.partitionBy(*group, *run).orderBy(F.col("_carry").isNull(), *order)

@@ -86,7 +86,8 @@ def _summary() -> list[Column]:
     ]
 
 
-def _errored() -> Column:
+def errored() -> Column:
+    """Whether a summary is in error."""
     return F.col("repeated") | ~F.col("bill_low").eqNullSafe(F.col("bill_high"))
 
 
@@ -150,7 +151,7 @@ def _ordinary_records(rows: DataFrame, page_size: int) -> DataFrame:
             "paymentRequests",
             F.col("payment_count").alias("paymentCount"),
             F.col("open_failure").alias("lastPaymentFailed"),
-            _errored().alias("errored"),
+            errored().alias("errored"),
         )
     )
 
@@ -225,7 +226,7 @@ def settle(runs: DataFrame) -> DataFrame:
                 "repeated": F.max("repeated").over(upto(in_order)),
             }
         )
-        .withColumn("errored_after", _errored())
+        .withColumn("errored_after", errored())
     )
 
 
@@ -335,14 +336,26 @@ def billing_changelog(
     return joined(_running(cold), busy and _running(_with_carry(busy, run_bits)))
 
 
-def _mark_first_requests(rows, run_bits):
+def changelog_from(
+    rows: DataFrame, fresh: DataFrame, start: DataFrame, run_bits: int = RUN_BITS
+) -> DataFrame:
+    """The changelog of ``billing_events`` of keys that have had others before.
+
+    ``fresh`` is ``key, seq`` of the requests whose payment id is new, ``start`` the state of the
+    keys by then: a row of ``merge_runs`` with the ``payments`` listed. Every key is folded in runs.
+    """
+    return _running(_with_carry(rows, run_bits, fresh, start))
+
+
+def _mark_first_requests(rows, run_bits, fresh=None):
     """Flag the first request of each payment id by placing a mark right before it."""
-    marks = (
-        rows.where(IS_REQUEST)
-        .groupBy("key", "payment_request.paymentId")
-        .agg(F.min("seq").alias("seq"))
-        .select("key", "seq", F.lit(1).alias("mark"))
-    )
+    if fresh is None:
+        fresh = (
+            rows.where(IS_REQUEST)
+            .groupBy("key", "payment_request.paymentId")
+            .agg(F.min("seq").alias("seq"))
+        )
+    marks = fresh.select("key", "seq", F.lit(1).alias("mark"))
     inside = Window.partitionBy("key", "run").orderBy("seq", F.col("mark").desc())
     return (
         rows.withColumn("mark", F.lit(0))
@@ -354,23 +367,28 @@ def _mark_first_requests(rows, run_bits):
     )
 
 
-def _with_carry(rows, run_bits):
+def _with_carry(rows, run_bits, fresh=None, start=None):
     """Add to each run a row holding the state before it; it has no ``seq``."""
-    marked = _mark_first_requests(rows, run_bits)
-    in_order = Window.partitionBy("key").orderBy("run")
+    marked = _mark_first_requests(rows, run_bits, fresh)
     added = marked.groupBy("key", "run").agg(F.count_if("new").alias("added"))
+    runs = billing_runs(rows, run_bits).join(added, ["key", "run"]).withColumn("batch", F.lit(1))
+    if start is not None:
+        earlier = start.withColumn("batch", F.lit(0)).withColumn("added", F.col("payments"))
+        runs = runs.unionByName(earlier.select(*runs.columns))
+    in_order = Window.partitionBy("key").orderBy("batch", "first_seq")
     carried = (
-        settle(billing_runs(rows, run_bits))
-        .join(added, ["key", "run"])
+        settle(runs)
         .select(
             "key",
             "run",
+            "batch",
             F.sum("added").over(before(in_order)).alias("carried_count"),
             F.lag("bill_after").over(in_order).alias("bill"),
             F.lag("failure_after").over(in_order).alias("payment_failed"),
             F.lag("errored_after").over(in_order).alias("carried_error"),
         )
-        .where("carried_count IS NOT NULL")
+        .where("batch = 1 AND carried_count IS NOT NULL")
+        .drop("batch")
     )
     return marked.unionByName(carried, allowMissingColumns=True)
 

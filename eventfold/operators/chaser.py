@@ -103,6 +103,11 @@ def _hot_pages(seen, page_size, run_bits):
     totals = seen.groupBy("key").agg(
         listed, *[total.alias(name) for name, total in _totals().items()]
     )
+    return _listed(names, totals, page_size)
+
+
+def _listed(names, totals, page_size):
+    """Pages of names in runs, latest first, with the totals of their keys."""
     pages = (
         number_in_runs(names, ["key"], ["run"], [F.col("last_seq").desc()], "position")
         .groupBy("key", page_of("position", page_size).alias("page"))
@@ -111,6 +116,21 @@ def _hot_pages(seen, page_size, run_bits):
     return pages.join(of_each_page(totals), ["key", "page"])
 
 
+def records_of_slots(
+    names: DataFrame,
+    totals: DataFrame,
+    count_seed: int = 1,
+    page_size: int = PAGE_SIZE,
+    run_bits: int = RUN_BITS,
+) -> DataFrame:
+    """The records from ``key, name, slot`` and ``key, names, n, sent, ttl``; a later slot is more recent."""
+    placed = names.select(
+        "key", "name", F.col("slot").alias("last_seq"), run_of(-F.col("slot"), run_bits).alias("run")
+    )
+    totals = totals.select("key", page_of("names", page_size).alias("last_page"), "n", "sent", "ttl")
+    return _records(_listed(placed, totals, page_size), count_seed)
+
+
 def chaser_aggregate(
     events: DataFrame,
     hot: DataFrame | str | None = MEASURE,
@@ -170,9 +190,23 @@ def chaser_changelog(
     )
 
 
-def _mark_new_names(rows, run_bits):
+def changelog_from(
+    rows: DataFrame, known: DataFrame, start: DataFrame, count_seed: int = 1, run_bits: int = RUN_BITS
+) -> DataFrame:
+    """The changelog of ``chasers`` rows of keys that have had others before.
+
+    ``known`` is ``key, name`` of the names seen by then, ``start`` ``key, n, new, sent, ttl``
+    of the keys: events, names, latest and longest so far. Every key is folded in runs.
+    """
+    new = rows.groupBy("key", "name").agg(F.min("seq").alias("seq"))
+    new = new.join(known.select("key", "name"), ["key", "name"], "left_anti")
+    return _running(_with_carry(_mark_new_names(rows, run_bits, new), start), count_seed)
+
+
+def _mark_new_names(rows, run_bits, new=None):
     """Flag the first event of each (key, name) by placing a mark right before it."""
-    marks = rows.groupBy("key", "name").agg(F.min("seq").alias("seq")).drop("name")
+    new = rows.groupBy("key", "name").agg(F.min("seq").alias("seq")) if new is None else new
+    marks = new.drop("name")
     marked = (
         rows.withColumn("mark", F.lit(0))
         .unionByName(marks.withColumn("mark", F.lit(1)), allowMissingColumns=True)
@@ -187,13 +221,18 @@ def _mark_new_names(rows, run_bits):
     )
 
 
-def _with_carry(rows):
-    """Add to each run a row holding the totals of the runs before it; it has no ``seq``."""
+def _with_carry(rows, start=None):
+    """Add to each run a row holding the totals of the runs before it; it has no ``seq``.
+
+    Totals begin with those of ``start``, which has no run and so comes first.
+    """
     earlier = before(Window.partitionBy("key").orderBy("run"))
     summary = rows.groupBy("key", "run").agg(
         F.sum("n").alias("n"), F.sum("new").alias("new"), F.max("sent").alias("sent"),
         F.max("ttl").alias("ttl"),
     )
+    if start is not None:
+        summary = summary.unionByName(start, allowMissingColumns=True)
     carried = summary.select(
         "key",
         "run",

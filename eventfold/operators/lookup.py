@@ -4,15 +4,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def not_blank(key: str) -> str:
+    """The key, which must not be blank."""
+    if not key or not key.strip():
+        raise ValueError("a key must not be blank")
+    return key
+
+
 def of_key(rows: DataFrame, key: str) -> DataFrame:
     """The rows of one key: of a record table, or of an event log about to be folded.
 
     An absent key gives no rows. The filter on the grouping key passes through windows and
     aggregations, so folding a filtered log or filtering a folded one reads the same.
     """
-    if not key or not key.strip():
-        raise ValueError("a key must not be blank")
-    return rows.where(F.col("key") == key)
+    return rows.where(F.col("key") == not_blank(key))
 
 
 def keys(events: DataFrame, kinds: list[str]) -> DataFrame:
