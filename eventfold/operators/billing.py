@@ -337,14 +337,15 @@ def billing_changelog(
 
 
 def changelog_from(
-    rows: DataFrame, fresh: DataFrame, start: DataFrame, run_bits: int = RUN_BITS
+    rows: DataFrame, runs: DataFrame, fresh: DataFrame, start: DataFrame, run_bits: int = RUN_BITS
 ) -> DataFrame:
     """The changelog of ``billing_events`` of keys that have had others before.
 
-    ``fresh`` is ``key, seq`` of the requests whose payment id is new, ``start`` the state of the
-    keys by then: a row of ``merge_runs`` with the ``payments`` listed. Every key is folded in runs.
+    ``runs`` are the rows' ``billing_runs``, ``fresh`` is ``key, seq`` of the requests whose payment
+    id is new, ``start`` the state of the keys by then: a row of ``merge_runs`` with the ``payments``
+    listed. Every key is folded in runs.
     """
-    return _running(_with_carry(rows, run_bits, fresh, start))
+    return _running(_with_carry(rows, run_bits, runs, fresh, start))
 
 
 def _mark_first_requests(rows, run_bits, fresh=None):
@@ -367,11 +368,12 @@ def _mark_first_requests(rows, run_bits, fresh=None):
     )
 
 
-def _with_carry(rows, run_bits, fresh=None, start=None):
+def _with_carry(rows, run_bits, runs=None, fresh=None, start=None):
     """Add to each run a row holding the state before it; it has no ``seq``."""
     marked = _mark_first_requests(rows, run_bits, fresh)
     added = marked.groupBy("key", "run").agg(F.count_if("new").alias("added"))
-    runs = billing_runs(rows, run_bits).join(added, ["key", "run"]).withColumn("batch", F.lit(1))
+    runs = billing_runs(rows, run_bits) if runs is None else runs
+    runs = runs.join(added, ["key", "run"]).withColumn("batch", F.lit(1))
     if start is not None:
         earlier = start.withColumn("batch", F.lit(0)).withColumn("added", F.col("payments"))
         runs = runs.unionByName(earlier.select(*runs.columns))

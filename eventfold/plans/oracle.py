@@ -255,3 +255,16 @@ ORACLE = {
     "streaming_chaser_aggregate": CHASER_RESULT,
     "streaming_billing_aggregate": BILLING_RESULT,
 }
+# Streams that keep state give what the batch operators give.
+ORACLE |= {
+    "streaming_event_count_changelog": ORACLE["event_count_changelog"],
+    "streaming_chaser_changelog": ORACLE["chaser_changelog"],
+    "streaming_billing_changelog": ORACLE["billing_changelog"],
+    "kept_chaser_pages": CHASER_RESULT,
+    "kept_billing_pages": BILLING_RESULT,
+    "kept_billing_records": BILLING_RESULT,
+    "kept_chaser_lookup": ORACLE["chaser_lookup"],
+    "kept_billing_lookup": ORACLE["billing_lookup"],
+    "kept_billing_keys": ORACLE["billing_keys"],
+    "streaming_meters": ORACLE["processing_meters"],
+}

@@ -19,7 +19,7 @@ from eventfold.sources.envelope import read_envelopes, write_envelopes
 from eventfold.sources.frames import decode_frames, encode_frames, good, read_headers, rejects
 from eventfold.sources.log import Log, from_topic
 from eventfold.sources.query import sql_rows
-from eventfold.streaming import streams
+from eventfold.streaming import kept, streams
 from eventfold.streaming.sinks import aggregate_frames
 
 MINUTE_MS = 60_000
@@ -67,6 +67,23 @@ def _flat_billing(records: DataFrame) -> DataFrame:
     )
 
 
+def _flat_chaser_log(log: DataFrame) -> DataFrame:
+    return log.withColumnRenamed("count", "event_count")
+
+
+def _flat_billing_log(log: DataFrame) -> DataFrame:
+    return log.select(
+        "key",
+        "seq",
+        "kind",
+        *_bill_columns(),
+        F.col("addedRequest.paymentId").alias("added_payment_id"),
+        F.col("paymentCount").alias("payment_count"),
+        *_failure_columns(),
+        "errored",
+    )
+
+
 def _all_events(spark, sf_dir):
     return tables.chaser_log(spark, sf_dir).unionByName(tables.billing_log(spark, sf_dir))
 
@@ -97,8 +114,7 @@ def chaser_aggregate(spark, sf_dir):
 
 
 def chaser_changelog(spark, sf_dir):
-    log = chaser.chaser_changelog(tables.chaser_log(spark, sf_dir))
-    return log.withColumnRenamed("count", "event_count")
+    return _flat_chaser_log(chaser.chaser_changelog(tables.chaser_log(spark, sf_dir)))
 
 
 def _billing(spark, sf_dir):
@@ -112,17 +128,7 @@ def billing_aggregate(spark, sf_dir):
 
 def billing_changelog(spark, sf_dir):
     hot = tables.hot_bills(spark, sf_dir)
-    log = billing.billing_changelog(tables.billing_log(spark, sf_dir, hot), hot)
-    return log.select(
-        "key",
-        "seq",
-        "kind",
-        *_bill_columns(),
-        F.col("addedRequest.paymentId").alias("added_payment_id"),
-        F.col("paymentCount").alias("payment_count"),
-        *_failure_columns(),
-        "errored",
-    )
+    return _flat_billing_log(billing.billing_changelog(tables.billing_log(spark, sf_dir, hot), hot))
 
 
 def billing_customers(spark, sf_dir):
@@ -402,6 +408,75 @@ def state_locations(spark, sf_dir):
     return streams.state_locations(spark, checkpoint)
 
 
+# --- streams that keep state -----------------------------------------------------------------
+
+KEPT_BUCKETS = 8
+
+
+def _keep(spark, keep, play, sf_dir, **what) -> str:
+    """Play the events in stretches through a stream that keeps a table; gives the table."""
+    table, checkpoint = scratch(spark, "kept"), scratch(spark, "checkpoint")
+    play(spark, sf_dir, lambda s: keep(s, table, checkpoint, buckets=KEPT_BUCKETS, **what))
+    return table
+
+
+def _play_in_order(spark, sf_dir, begin):
+    """All events, in stretches that do not fall along any count key's order of (seq, kind, key)."""
+    events = _all_events(spark, sf_dir)
+    lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
+    replay(events, _stretch("seq", lo, hi), STRETCHES, begin)
+
+
+def streaming_event_count_changelog(spark, sf_dir):
+    return kept.kept_log(spark, _keep(spark, kept.keep_counts, _play_in_order, sf_dir, changelog=True))
+
+
+def streaming_chaser_changelog(spark, sf_dir):
+    table = _keep(spark, kept.keep_chasers, _play_chasers, sf_dir, changelog=True)
+    return _flat_chaser_log(kept.kept_log(spark, table))
+
+
+def streaming_billing_changelog(spark, sf_dir):
+    table = _keep(spark, kept.keep_billing, _play_billing, sf_dir, changelog=True)
+    return _flat_billing_log(kept.kept_log(spark, table))
+
+
+def kept_chaser_pages(spark, sf_dir):
+    """The records put together from the pages that each micro-batch published."""
+    table = _keep(spark, kept.keep_chasers, _play_chasers, sf_dir, publish=True)
+    return _flat_chaser(kept.assembled_chasers(kept.kept_log(spark, table, "pages")))
+
+
+def kept_billing_pages(spark, sf_dir):
+    table = _keep(spark, kept.keep_billing, _play_billing, sf_dir, publish=True)
+    return _flat_billing(kept.assembled_billing(kept.kept_log(spark, table, "pages")))
+
+
+def kept_billing_records(spark, sf_dir):
+    return _flat_billing(kept.kept_billing(spark, _keep(spark, kept.keep_billing, _play_billing, sf_dir)))
+
+
+def kept_chaser_lookup(spark, sf_dir):
+    """One key's record, served from state."""
+    table = _keep(spark, kept.keep_chasers, _play_chasers, sf_dir)
+    return _flat_chaser(kept.kept_chaser_of(spark, table, LOOKUP_CHASER))
+
+
+def kept_billing_lookup(spark, sf_dir):
+    table = _keep(spark, kept.keep_billing, _play_billing, sf_dir)
+    return _flat_billing(kept.kept_billing_of(spark, table, LOOKUP_BILL))
+
+
+def kept_billing_keys(spark, sf_dir):
+    return kept.kept_keys(spark, _keep(spark, kept.keep_billing, _play_billing, sf_dir))
+
+
+def streaming_meters(spark, sf_dir):
+    """The meters that two streams have added up over their restarts."""
+    chasers = _keep(spark, kept.keep_chasers, _play_chasers, sf_dir)
+    return kept.kept_meters(spark, chasers, _keep(spark, kept.keep_billing, _play_billing, sf_dir))
+
+
 QUERIES = [
     event_counts,
     event_count_changelog,
@@ -431,6 +506,16 @@ QUERIES = [
     streaming_chaser_aggregate,
     streaming_billing_aggregate,
     state_locations,
+    streaming_event_count_changelog,
+    streaming_chaser_changelog,
+    streaming_billing_changelog,
+    kept_chaser_pages,
+    kept_billing_pages,
+    kept_billing_records,
+    kept_chaser_lookup,
+    kept_billing_lookup,
+    kept_billing_keys,
+    streaming_meters,
 ]
 
 

@@ -324,10 +324,12 @@ def keep_billing(
         in_runs = fresh.withColumn("run", run_of("seq", run_bits))
         fresh = number_in_runs(in_runs, BY_KEY, ["run"], [F.col("seq")], "position", begin)
         fresh = batch.keep(fresh.withColumn("batch", _at(batch)).drop("run"))
+        runs = billing.billing_runs(batch.rows, run_bits)
         if changelog:
-            log = billing.changelog_from(batch.rows, fresh, start, run_bits)
+            runs = batch.keep(runs)
+            log = billing.changelog_from(batch.rows, runs, fresh, start, run_bits)
             batch.append("changelog", log)
-        now = batch.keep(_billing_state(batch.rows, fresh, start, run_bits, batch.number))
+        now = batch.keep(_billing_state(batch.rows, runs, fresh, start, batch.number))
         first = Observation()
         told = now.observe(first, F.count_if(F.col("billed_at") == batch.number).alias("bills"))
         if publish:
@@ -359,9 +361,9 @@ def keep_billing(
     return _run(rows, parts, fold, table, checkpoint, every, buckets)
 
 
-def _billing_state(rows: DataFrame, fresh: DataFrame, start: DataFrame, run_bits: int, number: int) -> DataFrame:
+def _billing_state(rows: DataFrame, runs: DataFrame, fresh: DataFrame, start: DataFrame, number: int) -> DataFrame:
     """The state of the keys of a micro-batch after it: what was, then its runs, as one run."""
-    runs = billing.billing_runs(rows, run_bits).withColumn("batch", F.lit(1))
+    runs = runs.withColumn("batch", F.lit(1))
     earlier = start.withColumn("batch", F.lit(0)).select(*runs.columns)
     merged = billing.merge_runs(runs.unionByName(earlier))
     at = F.lit(number).cast("long")
