@@ -2,9 +2,10 @@
 
 A text is cut into words by a pattern; each word's bytes are merged pair by pair, the pair of
 lowest rank first, the leftmost of equals. The merging runs on distinct words only, as a fold of
-Spark's higher-order functions: the state is the array of token bounds, a step ranks all
-neighbouring pairs in a literal rank map and takes the bound between the best out. The map is
-a literal array of small maps, found by hash, as Spark looks a map's keys up one by one.
+Spark's higher-order functions: the state is the bounds of the tokens and the ranks of neighbouring
+pairs, a step takes the bound inside the best pair out and ranks the two pairs beside it, in a
+literal rank map. The map is a literal array of small maps, found by hash, as Spark looks a map's
+keys up one by one.
 
 Texts are not exploded. Words that are frequent in a bounded sample are folded first, and their
 codes are broadcast. One pass then turns texts into packed codes and a list of the distinct
@@ -34,8 +35,9 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from eventfold.llm.common import bounded_sample, whole
+from eventfold.llm.common import bounded_sample, by_batch, once, whole
 
 # Documented bounds: rows of the sample, words whose codes are broadcast, their bytes.
 SAMPLE_ROWS = 32_768
@@ -64,14 +66,15 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def folded(word: Column, ranks: Column) -> Column:
-    """The ids of a word given as text."""
+    """The ids of a word given as text.
+
+    The state of the fold is the bounds of the tokens and the ranks of the pairs of neighbours. A
+    step finds the least rank, the leftmost of equals, takes the bound inside that pair out, and
+    ranks the two pairs that its token is now in; all other ranks stay.
+    """
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    empty = F.array().cast("array<int>")
 
     def rank(token: Column) -> Column:
         at = F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
@@ -80,35 +83,52 @@ def folded(word: Column, ranks: Column) -> Column:
     def between(w: Column, begin: Column, end: Column) -> Column:
         return rank(F.substring(w, begin, end - begin))
 
-    def step(w: Column, bounds: Column) -> Column:
-        # bounds without its last two: where a pair begins; rank first, then place
-        pairs = F.transform(
-            F.slice(bounds, 1, F.size(bounds) - 2),
-            lambda begin, i: between(w, begin, F.get(bounds, i + 2)).cast("long") * 65536 + i,
+    def merged(w: Column, state: Column, i: Column) -> Column:
+        bounds, pairs = state["bounds"], state["pairs"]
+        # of the i-th pair, counted from one: it lies between the i-th bound and the second after
+        left = F.when(i > 1, F.array(between(w, F.get(bounds, i - 2), F.get(bounds, i + 1))))
+        right = F.when(i < F.size(pairs), F.array(between(w, F.get(bounds, i - 1), F.get(bounds, i + 2))))
+        return F.struct(
+            F.concat(F.slice(bounds, F.lit(1), i), F.slice(bounds, i + 2, F.size(bounds))).alias("bounds"),
+            F.concat(
+                F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))),
+                F.coalesce(left, empty),
+                F.coalesce(right, empty),
+                F.slice(pairs, i + 2, F.size(pairs)),
+            ).alias("pairs"),
         )
-        without = lambda best: F.when(
-            best < NONE * 65536, F.filter(bounds, lambda _, i: i != best % 65536 + 1)
-        ).otherwise(bounds)
-        return _let(F.array_min(pairs), without)
+
+    def step(w: Column, state: Column) -> Column:
+        def best(least: Column) -> Column:
+            at = F.array_position(state["pairs"], least).cast("int")
+            return F.when(least < NONE, once(at, lambda i: merged(w, state, i))).otherwise(state)
+
+        return once(F.array_min(state["pairs"]), best)
 
     def ids(w: Column) -> Column:
         n = F.length(w)
-        merged = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-            F.sequence(F.lit(1), n + 1),
-            lambda bounds, _: F.when(F.size(bounds) < 3, bounds).otherwise(step(w, bounds)),
+        begin = F.struct(
+            F.sequence(F.lit(1), n + 1).alias("bounds"),
+            F.transform(F.sequence(F.lit(1), n - 1), lambda i: between(w, i, i + 2)).alias("pairs"),
+        )
+        bounds = F.aggregate(
+            F.sequence(F.lit(1), n - 1),
+            begin,
+            lambda state, _: F.when(F.size(state["pairs"]) == 0, state).otherwise(step(w, state)),
+            lambda state: state["bounds"],
         )
-        return _let(
-            merged,
+        return once(
+            bounds,
             lambda b: F.transform(
-                F.slice(b, 1, F.size(b) - 1), lambda begin, i: between(w, begin, F.get(b, i + 1))
+                F.slice(b, F.lit(1), F.size(b) - 1), lambda begin, i: between(w, begin, F.get(b, i + 1))
             ),
         )
 
-    whole_word = lambda w: _let(
+    # a word of one byte has a rank, as every byte does
+    whole_word = lambda w: once(
         rank(w), lambda r: F.when(r < NONE, F.array(r)).otherwise(ids(w))
     )
-    return _let(chars, whole_word)
+    return once(chars, whole_word)
 
 
 def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -143,7 +163,7 @@ def merged_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """``word, ids`` of distinct words."""
+    """``word, ids`` of distinct words; a further column ``n`` stays."""
     ranks = read_ranks(ranks_path)
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack single bytes")
@@ -154,16 +174,29 @@ def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
             data = [w.encode() for w in batch.column(0).to_pylist()]
             ids = [merged_with_heap(w, known) if len(w) > LONG else None for w in data]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"]
+                [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"]
             )
 
-    long = words.select("word").mapInArrow(merge, "word string, ids array<int>")
+    more = [name for name in ("n",) if name in words.columns]
+    schema = words.select("word", *more).schema.add("ids", T.ArrayType(T.IntegerType()))
+    long = words.select("word", *more).mapInArrow(merge, schema)
     ids = F.when(F.col("ids").isNull(), folded(F.col("word"), rank_map(ranks)))
-    return long.select("word", ids.otherwise(F.col("ids")).alias("ids"))
+    return long.select("word", *more, ids.otherwise(F.col("ids")).alias("ids"))
+
+
+def packed_ids(words: DataFrame) -> DataFrame:
+    """``word, ids`` with the ids as little-endian 32-bit integers."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [batch.column("word"), pa.array(_packed_ids(batch.column("ids")), pa.binary())], ["word", "ids"]
+        )
+
+    return by_batch(words.select("word", "ids"), pack, "word string, ids binary")
 
 
 def frequent_codes(docs: DataFrame, pattern: str, ranks_path: str) -> pa.Table:
-    """``word, ids`` of the most frequent words of a bounded sample."""
+    """``word, n, ids`` of the most frequent words of a bounded sample, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, words = regex.compile(pattern).findall, Counter()
@@ -180,10 +213,11 @@ def frequent_codes(docs: DataFrame, pattern: str, ranks_path: str) -> pa.Table:
     counted = sample.mapInArrow(count, "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
     # repartitioned: a limit leaves all rows in one partition, and folding is the work
-    words = top.limit(FREQUENT).select("word").repartition(
+    words = top.limit(FREQUENT).repartition(
         4 * docs.sparkSession.sparkContext.defaultParallelism, "word"
     )
-    return encoded_words(words, ranks_path).toArrow()
+    found = encoded_words(words, ranks_path).toArrow()
+    return found.sort_by([("n", "descending"), ("word", "ascending")])
 
 
 def _coded(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, list[str]]:
@@ -195,13 +229,25 @@ def _coded(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, list[s
 
 
 def _packed(codes: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """Byte planes of the codes, the high ones being nearly empty."""
-    return press.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Codes in seven bits a byte, as many bytes as each needs: frequent words have small ones."""
+    sizes = 1 + sum((codes >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        seven = (codes[own].astype(np.uint64) >> np.uint64(7 * k)).astype(np.uint8) & 127
+        out[starts[own] + k] = seven | np.where(sizes[own] > k + 1, 128, 0).astype(np.uint8)
+    return press.compress(out.tobytes())
 
 
 def _unpacked(data: bytes, press: zstandard.ZstdDecompressor) -> list[int]:
-    planes = np.frombuffer(press.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().tolist()
+    raw = np.frombuffer(press.decompress(data), np.uint8)
+    if not len(raw):
+        return []
+    starts = np.append(0, np.flatnonzero(raw < 128)[:-1] + 1)
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    parts = (raw & 127).astype(np.int64) << (7 * place)
+    return np.add.reduceat(parts, starts).tolist()
 
 
 _made: dict[str, tuple] = {}
@@ -218,14 +264,17 @@ def _places(words: pa.Table) -> dict[str, int]:
     return {w: i for i, w in enumerate(words.column("word").to_pylist())}
 
 
-def _packed_ids(words: pa.Table) -> list[bytes]:
+def _packed_ids(ids: pa.ListArray) -> list[bytes]:
     """The ids of each word, as bytes."""
-    ids = words.column("ids").combine_chunks()
-    ends = ids.offsets.to_numpy() * 4
-    data = ids.values.to_numpy().astype("<u4").tobytes()
+    ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
+    data = ids.flatten().to_numpy().astype("<u4").tobytes()
     return [data[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+def _table_ids(words: pa.Table) -> list[bytes]:
+    return _packed_ids(words.column("ids").combine_chunks())
+
+
 @functools.lru_cache(maxsize=2)
 def _vocabulary(path: str) -> list[bytes]:
     ranks = read_ranks(path)
@@ -313,17 +362,17 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     # in Arrow, and with all columns used below: so both uses read one and the same shuffle
     pairs = coded.mapInArrow(words_of, "uid long, i int, word string")
-    rare = encoded_words(pairs.select("word").distinct(), ranks_path)
+    rare = packed_ids(encoded_words(pairs.select("word").distinct(), ranks_path))
     back = pairs.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "ids")).alias("rare"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = _once("ids", shared, _packed_ids), _vocabulary(ranks_path)
+        table, vocabulary = _once("ids", shared, _table_ids), _vocabulary(ranks_path)
         n, press = len(table), zstandard.ZstdDecompressor()
         out, size = [], 0
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "codes", "rare"))
             for doc_ids, sizes, packed, rare in zip(*columns):
-                own = {n + r["i"]: np.asarray(r["ids"], "<u4").tobytes() for r in rare or ()}
+                own = {n + r["i"]: r["ids"] for r in rare or ()}
                 codes, at = _unpacked(packed, press), 0
                 for doc_id, length in zip(doc_ids, sizes):
                     part = codes[at : at + length]

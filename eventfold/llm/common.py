@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python a few megabytes at a time.
+
+    A batch is held several times over, in the JVM, in Arrow and as Python values, by every
+    worker of an executor; operators that carry whole rows hold those as well.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, empty if there is none."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -33,7 +33,7 @@ from eventfold.llm.common import row_key, whole
 WORDS = 5
 SCALE = 4
 THRESHOLD = np.uint64(2**64 // SCALE)
-CACHED = 400_000
+CACHED, CACHED_BYTES = 200_000, 64  # words kept by a task, and the longest of them
 # Ranges per shuffle partition, so that hashing them to partitions evens out.
 RANGES, MOST_RANGES = 4, 10_000
 
@@ -42,9 +42,11 @@ class WordHashes(dict):
     """Word to 64-bit hash, with a bound on what is kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) > CACHED:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -51,8 +51,8 @@ from eventfold.llm.fingerprints import WordHashes, shingle_hashes
 
 SHARED = 2
 FREQUENT = 262_144
-COUNTED_AT_ONCE = 4_000_000  # tokens: 32 MB
-AT_ONCE = 500_000  # rows given back in one batch
+COUNTED_AT_ONCE = 1_000_000  # tokens: 8 MB
+AT_ONCE = 125_000  # rows given back in one batch
 PARTNERS = 256  # of a class in one task
 GROUPS = 256  # of tokens, by their first eight bits
 

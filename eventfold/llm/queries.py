@@ -13,7 +13,7 @@ from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.jaccard import linked
 from eventfold.llm.language import language_ids
 from eventfold.llm.sharding import sharded
-from eventfold.llm.suffixes import without_repeats
+from eventfold.llm.suffixes import text_of, without_repeats
 from eventfold.llm.token_counts import token_counts
 from eventfold.llm.vector_codes import code_rows
 from eventfold.llm.whitening import whitening_rows
@@ -79,6 +79,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        text_of().alias("text"),
     )
 
 

@@ -430,7 +430,8 @@ def without_repeats(
     ``with_row`` adds the row's other columns as a struct, ``row``.
     """
     found = repeated_spans(docs, length, hot_from).groupBy("kid", "kth")
-    found = found.agg(F.collect_list(F.struct("b", "e")).alias("found"))
+    # a set: rows that repeat each other give each span as often as there are of them
+    found = found.agg(F.collect_set(F.struct("b", "e")).alias("found"))
     names = ["doc_id", *(["row"] if with_row else [])]
     rest = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     rows = docs.select("doc_id", *([rest] if with_row else []), *row_key(), whole().alias("text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -150,6 +151,23 @@ def test_slices_and_chunks_do_not_matter(docs, monkeypatch):
         assert plain(spans) == plain(brute_spans(texts(), 100))
 
 
+def test_many_equal_rows_take_no_square_of_them(spark):
+    """Spans of rows that repeat each other meet as a set, not once for each row."""
+    text = sentence(random.Random(6), 400)
+    docs = documents(spark, [(1, text)] * 3000 + [(2, text[:500])])
+    began = time.time()
+    rows = suffixes.without_repeats(docs, 400).select("doc_id", "n_bytes", "kept").collect()
+    assert len(rows) == 3001 and all(bytes(r.kept) == b"" for r in rows)
+    assert time.time() - began < 120
+
+
+def test_words_kept_are_bounded():
+    hashes = fingerprints.WordHashes()
+    words = [b"x" * n for n in (1, 64, 65, 10_000)]
+    first = [hashes[w] for w in words]
+    assert [hashes[w] for w in words] == first and set(hashes) == set(words[:2])
+
+
 def test_windows_share_their_anchor_wherever_they_are():
     rng = np.random.default_rng(3)
     passage = rng.integers(97, 100, 300, dtype=np.uint8).tobytes()
