@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import bpe, decontamination, jaccard, language, suffixes
-from eventfold.llm.common import kept_table, row_key, table
+from eventfold.llm.common import kept_table, row_key, small_batches, table
 from eventfold.session import prepare
 
 WORDS, PERCENT = 5, 80
@@ -26,19 +26,25 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those rejected go."""
+    small_batches(spark)
     found = language.language_ids(docs, with_row=True)
     return found.where("NOT rejected").select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, WORDS, PERCENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur again; one that was null stays null."""
-    text = F.when(~F.col("row._none"), suffixes.text_of())
-    marked = docs.withColumn("_none", F.col("text").isNull())
+    small_batches(spark)
+    none = "_none"
+    while none in docs.columns:
+        none += "_"
+    text = F.when(~F.col("row")[none], suffixes.text_of())
+    marked = docs.withColumn(none, F.col("text").isNull())
     found = suffixes.without_repeats(marked, REPEATED_BYTES, with_row=True)
     cut = found.withColumn("_text", text)
     columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
@@ -55,6 +61,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``; ids are little-endian 32-bit integers."""
+    small_batches(spark)
     path = public_tokenizers.path(RANKS)
     found = bpe.encoded(docs, path, public_tokenizers.PATTERN)
     return found.select(
