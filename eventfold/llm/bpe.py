@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.llm.common import bounded_sample, by_batch, once, whole
+from eventfold.llm.common import bounded_sample, once, whole
 
 # Documented bounds: rows of the sample, words whose codes are broadcast, their bytes.
 SAMPLE_ROWS = 32_768
@@ -184,17 +184,6 @@ def encoded_words(words: DataFrame, ranks_path: str) -> DataFrame:
     return long.select("word", *more, ids.otherwise(F.col("ids")).alias("ids"))
 
 
-def packed_ids(words: DataFrame) -> DataFrame:
-    """``word, ids`` with the ids as little-endian 32-bit integers."""
-
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [batch.column("word"), pa.array(_packed_ids(batch.column("ids")), pa.binary())], ["word", "ids"]
-        )
-
-    return by_batch(words.select("word", "ids"), pack, "word string, ids binary")
-
-
 def frequent_codes(docs: DataFrame, pattern: str, ranks_path: str) -> pa.Table:
     """``word, n, ids`` of the most frequent words of a bounded sample, most frequent first."""
 
@@ -264,17 +253,14 @@ def _places(words: pa.Table) -> dict[str, int]:
     return {w: i for i, w in enumerate(words.column("word").to_pylist())}
 
 
-def _packed_ids(ids: pa.ListArray) -> list[bytes]:
+def _packed_ids(words: pa.Table) -> list[bytes]:
     """The ids of each word, as bytes."""
-    ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
-    data = ids.flatten().to_numpy().astype("<u4").tobytes()
+    ids = words.column("ids").combine_chunks()
+    ends = ids.offsets.to_numpy() * 4
+    data = ids.values.to_numpy().astype("<u4").tobytes()
     return [data[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def _table_ids(words: pa.Table) -> list[bytes]:
-    return _packed_ids(words.column("ids").combine_chunks())
-
-
 @functools.lru_cache(maxsize=2)
 def _vocabulary(path: str) -> list[bytes]:
     ranks = read_ranks(path)
@@ -362,17 +348,17 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     # in Arrow, and with all columns used below: so both uses read one and the same shuffle
     pairs = coded.mapInArrow(words_of, "uid long, i int, word string")
-    rare = packed_ids(encoded_words(pairs.select("word").distinct(), ranks_path))
+    rare = encoded_words(pairs.select("word").distinct(), ranks_path)
     back = pairs.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "ids")).alias("rare"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = _once("ids", shared, _table_ids), _vocabulary(ranks_path)
+        table, vocabulary = _once("ids", shared, _packed_ids), _vocabulary(ranks_path)
         n, press = len(table), zstandard.ZstdDecompressor()
         out, size = [], 0
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_ids", "sizes", "codes", "rare"))
             for doc_ids, sizes, packed, rare in zip(*columns):
-                own = {n + r["i"]: r["ids"] for r in rare or ()}
+                own = {n + r["i"]: np.asarray(r["ids"], "<u4").tobytes() for r in rare or ()}
                 codes, at = _unpacked(packed, press), 0
                 for doc_id, length in zip(doc_ids, sizes):
                     part = codes[at : at + length]
