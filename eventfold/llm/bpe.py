@@ -71,14 +71,19 @@ def folded(word: Column, ranks: Column) -> Column:
 
     The state of the fold is the bounds of the tokens and the ranks of the pairs of neighbours. A
     step finds the least rank, the leftmost of equals, takes the bound inside that pair out, and
-    ranks the two pairs that its token is now in; all other ranks stay.
+    ranks the two pairs that its token is now in; all other ranks stay. The rank map is in the plan
+    once, bound to a name, as it is large.
     """
+    return once(ranks, lambda known: _folded(word, known))
+
+
+def _folded(word: Column, known: Column) -> Column:
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     empty = F.array().cast("array<int>")
 
     def rank(token: Column) -> Column:
         at = F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
-        return F.coalesce(F.element_at(F.get(ranks, at), token), F.lit(NONE))
+        return F.coalesce(F.element_at(F.get(known, at), token), F.lit(NONE))
 
     def between(w: Column, begin: Column, end: Column) -> Column:
         return rank(F.substring(w, begin, end - begin))
