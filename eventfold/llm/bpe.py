@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventfold.llm.common import bounded_sample, once, whole
+from eventfold.llm.common import bounded_sample, give_back, once, whole
 
 # Documented bounds: rows of the sample, words whose codes are broadcast, their bytes.
 SAMPLE_ROWS = 32_768
@@ -244,16 +244,6 @@ def _unpacked(data: bytes, press: zstandard.ZstdDecompressor) -> list[int]:
     return np.add.reduceat(parts, starts).tolist()
 
 
-_made: dict[str, tuple] = {}
-
-
-def _once(name: str, shared, make):
-    """What a worker makes of a broadcast value, once."""
-    if name not in _made or _made[name][0] is not shared.value:
-        _made[name] = shared.value, make(shared.value)
-    return _made[name][1]
-
-
 def _places(words: pa.Table) -> dict[str, int]:
     return {w: i for i, w in enumerate(words.column("word").to_pylist())}
 
@@ -303,7 +293,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, places = regex.compile(pattern).findall, _once("places", shared, _places)
+        find, places = regex.compile(pattern).findall, _places(shared.value)
         press = zstandard.ZstdCompressor(level=3)
 
         def packed(uid: int, doc_ids: list, sizes: list[int], words: list[str]) -> pa.RecordBatch:
@@ -331,6 +321,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     first, doc_ids, sizes, words = None, [], [], []
         if doc_ids:
             yield packed(first, doc_ids, sizes, words)
+        del places, doc_ids, sizes, words
+        give_back()
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
@@ -357,7 +349,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     back = pairs.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "ids")).alias("rare"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = _once("ids", shared, _packed_ids), _vocabulary(ranks_path)
+        table, vocabulary = _packed_ids(shared.value), _vocabulary(ranks_path)
         n, press = len(table), zstandard.ZstdDecompressor()
         out, size = [], 0
         for batch in batches:
@@ -379,6 +371,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                         out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
+        del table, out
+        give_back()
 
     met = coded.join(back, "uid", "left")
     return met.mapInArrow(assemble, "doc_id long, ids binary, decoded binary, n_tokens long")

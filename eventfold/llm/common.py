@@ -1,5 +1,8 @@
 """Helpers shared by the operators: reading tables, row keys, shared tables."""
 
+import contextlib
+import ctypes
+import gc
 import json
 from collections.abc import Callable, Iterator
 
@@ -26,6 +29,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
+def give_back() -> None:
+    """Return the memory a task no longer uses: its worker stays, idle, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, empty if there is none."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

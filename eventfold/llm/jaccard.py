@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventfold.llm.bitmaps import bitmap_of, marked
-from eventfold.llm.common import NO_ID, kept_table, row_key, whole
+from eventfold.llm.common import NO_ID, give_back, kept_table, row_key, whole
 from eventfold.llm.components import components
 from eventfold.llm.fingerprints import WordHashes, shingle_hashes
 
@@ -117,6 +117,8 @@ def sizes_and_counts(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=_SIZES)
         if held:
             yield counted()
+        del hashes, seen, held
+        give_back()
 
     rows = docs.select(*row_key(), whole().alias("text"))
     return kept_table(docs.sparkSession, rows.mapInArrow(look, SIZES), "sizes")
@@ -187,6 +189,8 @@ def matrix_tokens(docs: DataFrame, words: int, percent: int, counts: DataFrame)
                     seen = set()
         if out:
             yield given(out, cls, n)
+        del hashes, seen, out, cls, n
+        give_back()
 
     return docs.select(whole().alias("text")).mapInArrow(look, "token long, cls long, n int, pos int")
 

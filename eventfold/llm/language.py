@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import bounded_sample, kept_table, whole
+from eventfold.llm.common import bounded_sample, give_back, kept_table, whole
 
 # Documented bounds of the sample: rows, and the largest number of subwords kept of one.
 SAMPLE_ROWS = 2_000
@@ -294,6 +294,7 @@ def identified(docs: DataFrame, model: Model | None, with_row: bool = False) ->
                 pa.array([f[0] == UNKNOWN or f[1] < known.least for f in found], pa.bool_())
             ]
             yield pa.RecordBatch.from_arrays(values, [*names, "lang_pred", "score", "rejected"])
+        give_back()
 
     rows = docs.select(
         "doc_id",
