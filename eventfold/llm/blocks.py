@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(
@@ -33,7 +34,6 @@ INLINE = frozenset(
     "ruby s samp small span strike strong sub sup time tt u var wbr img "
     "svg math button".split()
 )
-CLOSED_BY_BLOCK = frozenset(["p"])
 # What closes an open element of the same kind that was left open.
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 SAME |= {"option": "option", "button": "button"}
@@ -56,14 +56,36 @@ OTHER_WORDS = frozenset(
 )
 
 
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+# Elements whose nearest open one is remembered, as a later element may close it.
+REMEMBERED = frozenset("p li dt dd tr td th option button".split())
+
+
+@dataclass(frozen=True, slots=True)
+class Tree:
+    """What the elements around a text say of it, each from 0 to 1.
+
+    Names of class and id count by the share of their words that are in a list: ``notice-of-meeting``
+    says less than ``cookie-notice``.
+    """
+
+    content_tag: float = 0.0
+    content_word: float = 0.0
+    other_tag: float = 0.0
+    other_word: float = 0.0
+    comment: float = 0.0
+    hidden: float = 0.0
+    form: float = 0.0
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    parent: int  # the number of the element that holds it
-    depth: int
+    element: int  # the number of the element that holds it
+    container: int  # the number of the one around that
+    apart: int  # steps in the tree from the block before
     tag: str
-    evidence: int  # 1 content, -1 something else, 0 unknown
-    strong: bool  # whether an element's name says so
+    tree: Tree
     linked: int  # code points within links
 
 
@@ -71,9 +93,11 @@ class Block:
 class _Element:
     tag: str
     number: int
-    evidence: int
-    strong: bool
-    comment: bool
+    tree: Tree
+    holder: "_Element | None"  # the nearest element that is not inline, itself included
+    around: int  # the number of the holder's own holder
+    height: int
+    near: dict[str, int]  # where in the stack the nearest of ``REMEMBERED`` stand
 
 
 @dataclass(slots=True)
@@ -81,31 +105,28 @@ class _Reader:
     stack: list = field(default_factory=list)
     out: list = field(default_factory=list)
     parts: list = field(default_factory=list)
+    opened: Counter = field(default_factory=Counter)  # open elements by tag
+    special: list = field(default_factory=list)  # where heads, narrow and foreign ones stand
     linked: int = 0
     links: int = 0
     silent: int = 0
     foreign: int = 0
     made: int = 0
-    block: tuple = (0, 0, "", 0, False)
+    headed: bool = False
+    low: int = 0  # the least height of the stack since the last block began
+    before: int = 0  # the height at which that began
+    block: tuple = (0, 0, 0, "", Tree())
 
     def context(self) -> tuple:
-        """Parent, depth, tag and evidence of text that begins here."""
-        holder = next((e for e in reversed(self.stack) if e.tag not in INLINE), None)
-        evidence, strong = 0, False
-        for e in reversed(self.stack):
-            if e.tag == "form" and evidence > 0:
-                continue  # some pages put all they have into one form
-            if e.evidence < 0 and (e.strong or evidence == 0 or e.comment):
-                # a name of class around an article says little; what it is inside of does
-                evidence, strong = -1, e.strong
-                break
-            if e.evidence > 0 and not (evidence and strong):
-                evidence, strong = 1, e.strong
-        return (
-            (holder.number, len(self.stack), holder.tag, evidence, strong)
-            if holder
-            else (0, 0, "", 0, False)
-        )
+        """Element, container, distance, tag and tree of text that begins here."""
+        top = self.stack[-1] if self.stack else None
+        height = top.holder.height if top and top.holder else 0
+        shared = min(self.low, height, self.before)
+        apart = (height - shared) + (self.before - shared)
+        self.low, self.before = height, height
+        if not (top and top.holder):
+            return 0, 0, apart, "", top.tree if top else Tree()
+        return top.holder.number, top.around, apart, top.holder.tag, top.tree
 
     def add(self, raw: str) -> None:
         if not raw or self.silent:
@@ -124,23 +145,29 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                parent, depth, tag, evidence, strong = self.block
-                self.out.append(Block(text, parent, depth, tag, evidence, strong, self.linked))
+                self.out.append(Block(text, *self.block, self.linked))
             self.parts, self.linked = [], 0
 
     def pop(self, k: int) -> None:
         for e in self.stack[k:]:
+            self.opened[e.tag] -= 1
             self.links -= e.tag == "a"
             self.silent -= e.tag in SILENT
             self.foreign -= e.tag in FOREIGN
         del self.stack[k:]
+        while self.special and self.special[-1] >= k:
+            self.special.pop()
+        self.low = min(self.low, self.stack[-1].height if self.stack else 0)
 
     def leave(self, tag: str) -> None:
         """Close what was left open and cannot hold the element that begins."""
-        for k, e in enumerate(self.stack):
-            if e.tag == "foreignobject":
+        if tag not in BREAKS and (tag in IN_HEAD or not self.opened["head"]):
+            return
+        for k in self.special:
+            at = self.stack[k].tag
+            if at == "foreignobject":
                 break
-            if e.tag == "head" and tag not in IN_HEAD or e.tag in NARROW and tag in BREAKS:
+            if at == "head" or tag in BREAKS:
                 return self.pop(k)
 
     def open(self, tag: str, attributes: str) -> None:
@@ -151,61 +178,87 @@ class _Reader:
         elif tag not in INLINE or tag == "button":
             if tag != "button":
                 self.flush()
-            closing = SAME.get(tag, "").split()
-            for k in range(len(self.stack) - 1, -1, -1):
-                at = self.stack[k].tag
-                if at in CLOSED_BY_BLOCK or at in closing:
-                    self.pop(k)
-                    break
-                if at in SCOPE:
-                    break
+            near = self.stack[-1].near if self.stack else {}
+            last = max((near.get(t, -1) for t in ("p", *SAME.get(tag, "").split())), default=-1)
+            if last >= 0:
+                self.pop(last)
         if tag == "br":
             self.add("\n")
-        if tag in VOID:
+        if tag in VOID or tag == "head" and self.headed:
             return
+        self.push(tag, attributes)
+
+    def push(self, tag: str, attributes: str) -> None:
         self.made += 1
+        self.opened[tag] += 1
         self.links += tag == "a"
         self.silent += tag in SILENT
         self.foreign += tag in FOREIGN
-        self.stack.append(_Element(tag, self.made, *_evidence(tag, attributes)))
+        self.headed |= tag == "head"
+        if tag in NARROW or tag in ("head", "foreignobject"):
+            self.special.append(len(self.stack))
+        top = self.stack[-1] if self.stack else None
+        near = {} if tag in SCOPE or not top else top.near
+        if tag in REMEMBERED:
+            near = near | {tag: len(self.stack)}
+        tree = told(tag, attributes, top.tree if top else Tree())
+        holder, around, height = (top.holder, top.around, top.height) if top else (None, 0, 0)
+        one = _Element(tag, self.made, tree, holder, around, height, near)
+        if tag not in INLINE:
+            one.around = holder.number if holder else 0
+            one.holder, one.height = one, height + 1
+        self.stack.append(one)
 
     def close(self, tag: str) -> None:
         if tag not in INLINE and not (self.foreign and tag not in BREAKS):
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k].tag == tag:
-                return self.pop(k)
+        if self.opened[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag:
+                k -= 1
+            self.pop(k)
+
+
+def _share(names: list[str], listed: frozenset[str]) -> float:
+    """The largest share of one name's words that are listed."""
+    split = [WORDS.findall(name) for name in names]
+    return max((sum(w in listed for w in ws) / len(ws) for ws in split if ws), default=0.0)
 
 
-def _evidence(tag: str, attributes: str) -> tuple[int, bool, bool]:
-    """What an element says of its text: evidence, strength, whether it holds comments."""
+def told(tag: str, attributes: str, around: Tree) -> Tree:
+    """What is said of text within an element, given what was said around it."""
     if tag in ("html", "body"):
-        return 0, False, False
-    words: set[str] = set()
+        return around
+    names: list[str] = []
+    role, hidden = "", False
     if attributes and ("=" in attributes or "hidden" in attributes):
-        for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
+        for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if hidden or name == "aria-hidden" and value == "true":
-                return -1, True, False
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return -1, True, False
+            hidden |= bool(bare) or name == "aria-hidden" and value == "true"
+            hidden |= name == "style" and "display:none" in value.replace(" ", "")
             if name == "role":
-                if value in OTHER_ROLES:
-                    return -1, True, False
-                if value in CONTENT_ROLES:
-                    return 1, True, False
+                role = value
             if name in ("class", "id"):
-                words.update(WORDS.findall(value))
-    comment = not words.isdisjoint(("comment", "comments", "disqus", "respond", "replies"))
-    if tag in OTHER_TAGS or tag in EMBEDDED:
-        return -1, True, comment
-    if tag in CONTENT_TAGS:
-        return (-1, False, True) if comment else (1, True, False)
-    if not words.isdisjoint(OTHER_WORDS):
-        return -1, False, comment
-    if not words.isdisjoint(CONTENT_WORDS):
-        return 1, False, False
-    return 0, False, False
+                names += value.split()
+    content = tag in CONTENT_TAGS or role in CONTENT_ROLES
+    other = tag in OTHER_TAGS or tag in EMBEDDED or role in OTHER_ROLES
+    if not (names or content or other or hidden):
+        return around
+    comment = max(around.comment, _share(names, COMMENT_WORDS))
+    content_word = max(around.content_word, _share(names, CONTENT_WORDS))
+    other_word, other_tag, form = around.other_word, around.other_tag, around.form
+    if content and not comment:
+        # A name around an article says little, and some pages put all they have into a form.
+        other_word, form = 0.0, 0.0
+    other_word = max(other_word, _share(names, OTHER_WORDS))
+    if tag == "form" or role == "form":
+        form = 1.0
+    elif other and not (tag == "header" and around.content_tag):  # an article's own heading
+        other_tag = 1.0
+    content_tag = max(around.content_tag, float(content and not comment))
+    return Tree(
+        content_tag, content_word, other_tag, other_word, comment, max(around.hidden, hidden), form
+    )
 
 
 def blocks(page: str) -> list[Block]:

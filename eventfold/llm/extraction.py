@@ -1,22 +1,25 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page is a sequence of text blocks. A logistic classifier gives each block a cost for either
-label; the costs are its capacities from the source (content) and to the sink (boilerplate).
-Blocks that follow each other, and blocks that follow each other within one element, are joined
-by smoothness edges: giving them different labels costs that much. A maximum flow finds the
-labels of least total cost; blocks on the source's side of the cut are the text.
-
-What the tree says outright (an article, a menu, a footer, a class of advertising or comments)
-adds to the costs more than all smoothness edges of a block can weigh; the classifier and the
-edges decide the rest. The classifier learns from blocks of which the tree says it, of a bounded
-sample of pages, by features that leave the tree out. Pages are labelled one by one in a narrow
-stage.
+A page is a sequence of text blocks. A logistic classifier gives each block the log-odds of being
+content, from its text (length, links, sentences, paragraph) and from the tree around it (tags,
+roles, words of class and id); they are its capacities from the source (content) or to the sink
+(boilerplate). Blocks that follow each other, and blocks of one container with others between them,
+are joined by smoothness edges: different labels cost the log-odds that such blocks share one, at
+most ``JOIN_MOST``, by how close they stand in the tree. A maximum flow finds the labels of least
+total cost; blocks on the source's side of the cut are the text. Nothing overrules the cut.
+
+Weights and edges are learned without labels, on a bounded sample of pages: the sample is cut with
+the prior ones, a logistic regression drawn towards the prior is fitted to the labels of the cut,
+the labels of joined blocks are counted, and again, ``ROUNDS`` times. What the sample never shows
+keeps its prior weight. Pages are labelled one by one in a narrow stage.
 
 Defined results: a null, empty or unreadable page has the empty text; unfinished markup ends
 where the page does; a page without any block of content has the empty text; repeated rows each
 give a row; an empty table gives none; further columns are ignored.
 """
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,89 +30,127 @@ from pyspark.sql import functions as F
 from eventfold.llm.blocks import Block, blocks
 from eventfold.llm.common import bounded_sample, whole
 
-# Documented bounds of the sample: pages, and blocks of one page.
+# Documented bounds of the sample: pages, and neighbouring blocks of one page.
 SAMPLE_PAGES = 512
-SAMPLE_BLOCKS = 200
-STEPS, RATE, DECAY = 300, 0.5, 1e-3
-# Costs: the classifier's within +-LEARNED, the tree's beside it, the edges'.
-LEARNED = 2.0
-STRONG, WEAK = 8.0, 5.0
-NEXT, WITHIN = 0.5, 0.7
-# Without a page to learn from: bias and a weight for each feature of ``features``.
-PRIOR = np.array([-1.0, 0.6, -2.0, 0.8, 0.3, 0.8])
-
-
-def features(block: Block) -> np.ndarray:
-    """What a block's own text tells: bias, length, links, sentences, commas, paragraph."""
+SAMPLE_BLOCKS = 300
+ROUNDS, STEPS, RATE, DRAWN = 3, 200, 0.5, 0.05
+TEXT = ("bias", "length", "linked", "sentence", "commas", "paragraph", "heading")
+TREE = ("content_tag", "content_word", "other_tag", "other_word", "comment", "hidden", "form")
+# Prior weights of both, as log-odds.
+PRIOR = np.array([-1.0, 0.6, -2.0, 0.8, 0.3, 0.8, 0.3] + [3.0, 2.0, -6.0, -5.0, -7.0, -8.0, -5.0])
+# Kinds of edges: blocks in a row within a container, near, far; and a container's, not in a row.
+INSIDE, NEAR, FAR, ACROSS = range(4)
+NEAR_STEPS = 4
+JOIN_MOST = 1.2
+# Prior counts of joined blocks with one label and with two.
+COUNTED = np.array([[25.0, 10.0], [15.0, 10.0], [10.0, 10.0], [20.0, 10.0]])
+Links = list[tuple[int, int, int]]
+
+
+def features(block: Block) -> list[float]:
+    """What a block's text tells, then what the tree does: ``TEXT`` and ``TREE``."""
     n = len(block.text)
-    return np.array(
-        [
-            1.0,
-            min(np.log1p(n) / 3, 3.0),
-            min(1.0, block.linked / n),
-            float(block.text[-1] in ".!?:;…\"”"),
-            min(2.0, 40 * block.text.count(",") / n),
-            float(block.tag in ("p", "pre", "blockquote")),
-        ]
-    )
+    return [
+        1.0,
+        min(math.log1p(n) / 3, 3.0),
+        min(1.0, block.linked / n),
+        float(block.text[-1] in ".!?:;…\"”"),
+        min(2.0, 40 * block.text.count(",") / n),
+        float(block.tag in ("p", "pre", "blockquote")),
+        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
+        *(float(getattr(block.tree, name)) for name in TREE),
+    ]
+
+
+def links(page: list[Block]) -> Links:
+    """Blocks that should share a label, and the kind of edge between them."""
+    found = []
+    last: dict[int, int] = {}
+    for i, block in enumerate(page):
+        together = last.get(block.container)
+        if i:
+            inside = together == i - 1 or block.element == page[i - 1].element
+            kind = INSIDE if inside else NEAR if block.apart <= NEAR_STEPS else FAR
+            found.append((i - 1, i, kind))
+        if together is not None and together < i - 1:
+            found.append((together, i, ACROSS))
+        last[block.container] = i
+    return found
+
+
+def joins(counts: np.ndarray) -> np.ndarray:
+    """What it costs, for each kind of edge, to give its ends different labels."""
+    return np.clip(np.log(counts[:, 0] / counts[:, 1]), 0.0, JOIN_MOST)
+
+
+Model = tuple[np.ndarray, np.ndarray]
+FIRST: Model = (PRIOR, joins(COUNTED))
+
+
+def labels(x: np.ndarray, linked: Links, model: Model) -> list[bool]:
+    """Which blocks are content, by the cut."""
+    weights, cost = model
+    return minimum_cut(x @ weights, [(a, b, float(cost[kind])) for a, b, kind in linked if cost[kind]])
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights, both classes weighing the same; the prior ones without both."""
+    """Logistic weights near the prior ones, both classes weighing the same."""
     if not len(y) or y.min() == y.max():
         return PRIOR
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w = np.zeros(x.shape[1])
+    w = PRIOR.copy()
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= RATE * (x.T @ (share * (p - y)) + DECAY * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= RATE * (x.T @ (share * (p - y)) + DRAWN * (w - PRIOR))
     return w
 
 
-def classifier(pages: DataFrame) -> np.ndarray:
-    """Weights learned from blocks of which the tree says what they are."""
+def learned(sample: list[tuple[np.ndarray, Links]]) -> Model:
+    """Weights and edges from pages without labels: cut, fit to the cut, and again."""
+    model = FIRST
+    for _ in range(ROUNDS if sample else 0):
+        cut = [labels(x, linked, model) for x, linked in sample]
+        counts = COUNTED.copy()
+        for kept, (_, linked) in zip(cut, sample):
+            for a, b, kind in linked:
+                counts[kind, int(kept[a] != kept[b])] += 1
+        y = np.concatenate([np.array(kept, dtype=float) for kept in cut])
+        model = fitted(np.concatenate([x for x, _ in sample]), y), joins(counts)
+    return model
+
+
+def classifier(pages: DataFrame) -> Model:
+    """The model learned from a bounded sample of the pages."""
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (features(b).tolist(), b.evidence)
-                for page in batch.column(0).to_pylist()
-                for b in [b for b in blocks(page) if b.evidence][:SAMPLE_BLOCKS]
-            ]
+            x, ends = [], []
+            for page in batch.column(0).to_pylist():
+                found = blocks(page)
+                first = zlib.crc32(page.encode()) % max(1, len(found) - SAMPLE_BLOCKS + 1)
+                part = found[first : first + SAMPLE_BLOCKS]
+                if part:
+                    x.append([v for b in part for v in features(b)])
+                    ends.append([v for link in links(part) for v in link])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.list_(pa.float64())),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                ],
-                ["x", "y"],
+                [pa.array(x, pa.list_(pa.float64())), pa.array(ends, pa.list_(pa.int64()))],
+                ["x", "ends"],
             )
 
     sample = bounded_sample(pages.where("html IS NOT NULL").select("html"), SAMPLE_PAGES)
-    rows = sorted(map(tuple, sample.mapInArrow(known, "x array<double>, y long").collect()))
-    x = np.array([r[0] for r in rows]).reshape(len(rows), len(PRIOR))
-    return fitted(x, np.array([r[1] > 0 for r in rows], dtype=float))
-
-
-def costs(page: list[Block], weights: np.ndarray) -> np.ndarray:
-    """For each block, by how much boilerplate costs more than content."""
-    x = np.array([features(b) for b in page])
-    learned = np.clip(x @ weights, -LEARNED, LEARNED)
-    tree = np.array([b.evidence * (STRONG if b.strong else WEAK) for b in page])
-    return learned + tree
-
-
-def edges(page: list[Block]) -> list[tuple[int, int, float]]:
-    """Blocks that should share a label, and what it costs if they do not."""
-    found = [(i, i + 1, NEXT) for i in range(len(page) - 1)]
-    last: dict[int, int] = {}
-    for i, block in enumerate(page):
-        if block.parent in last:
-            found.append((last[block.parent], i, WITHIN))
-        last[block.parent] = i
-    return found
+    rows = sorted(map(tuple, sample.mapInArrow(seen, "x array<double>, ends array<long>").collect()))
+    return learned(
+        [
+            (
+                np.array(x).reshape(-1, len(PRIOR)),
+                [tuple(e) for e in np.array(ends, dtype=int).reshape(-1, 3).tolist()],
+            )
+            for x, ends in rows
+        ]
+    )
 
 
-def minimum_cut(gain: np.ndarray, links: list[tuple[int, int, float]]) -> list[bool]:
+def minimum_cut(gain: np.ndarray, joined: list[tuple[int, int, float]]) -> list[bool]:
     """Whether each node is on the source's side of a minimum cut.
 
     A node's gain is its capacity from the source if positive, to the sink if negative; what
@@ -121,7 +162,7 @@ def minimum_cut(gain: np.ndarray, links: list[tuple[int, int, float]]) -> list[b
     to: list[int] = []
     room: list[float] = []
     out: list[list[int]] = [[] for _ in range(n)]
-    for a, b, weight in links:
+    for a, b, weight in joined:
         for x, y in ((a, b), (b, a)):
             out[x].append(len(to))
             to.append(y)
@@ -169,22 +210,22 @@ def minimum_cut(gain: np.ndarray, links: list[tuple[int, int, float]]) -> list[b
                     break
 
 
-def main_text(page: str, weights: np.ndarray) -> str:
+def main_text(page: str, model: Model = FIRST) -> str:
     """The blocks of content, a line each."""
     found = blocks(page)
     if not found:
         return ""
-    kept = minimum_cut(costs(found, weights), edges(found))
+    kept = labels(np.array([features(b) for b in found]), links(found), model)
     return "\n".join(b.text for b, keep in zip(found, kept) if keep)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages`` (page_id, url, html)."""
-    weights = classifier(pages)
+    model = classifier(pages)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, weights) for page in batch.column("html").to_pylist()]
+            texts = [main_text(page, model) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
