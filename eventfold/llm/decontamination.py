@@ -30,7 +30,7 @@ from eventfold.llm.common import kept_table, row_key, whole
 
 WINDOW = 13
 SHINGLE = 3
-# A row of the broadcast is at most two windows of words.
+# A row of the broadcast holds at most two windows of words, however long its item.
 BLOCK_ROWS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,9 +47,11 @@ def _hash(array: str, at: Column, size: int) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """Every shingle of every item: ``item_id, item, q, size, span, h, words``.
+    """Every shingle of every item: ``item_id, item, m, q, size, span, h, at, words``.
 
-    ``span`` is the length of the item's windows; ``item`` tells items apart whatever their id.
+    ``span`` is the length of the item's windows, ``m`` its own; ``item`` tells items apart whatever
+    their id. ``words`` are those that windows with the shingle can hold, which stands at ``at`` of
+    them and at ``q`` of the item.
     """
     n = F.size("words")
     split = items.select("item_id", words(whole()).alias("words")).where(n > 0)
@@ -57,6 +59,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
         "item_id",
         F.xxhash64("item_id", "words").alias("item"),
         "words",
+        n.alias("m"),
         F.least(n, F.lit(WINDOW)).alias("span"),
         F.least(n, F.lit(SHINGLE)).alias("size"),
     ).distinct()
@@ -66,7 +69,13 @@ def item_shingles(items: DataFrame) -> DataFrame:
         range(1, SHINGLE + 1),
         F.lit(None).cast("long"),
     )
-    return at.withColumn("h", hashes)
+    reach = F.col("span") - F.col("size")
+    first = F.greatest(F.col("q") - reach, F.lit(0))
+    return at.withColumn("h", hashes).select(
+        "item_id", "item", "m", "q", "size", "span", "h",
+        (F.col("q") - first).alias("at"),
+        F.slice("words", first + 1, F.col("span") + reach).alias("words"),
+    )
 
 
 def _positions(docs: DataFrame, shingles: DataFrame, size: int, how: str) -> DataFrame:
@@ -90,35 +99,38 @@ def _positions(docs: DataFrame, shingles: DataFrame, size: int, how: str) -> Dat
 
 
 def _blocks(shingles: DataFrame) -> list[tuple[int, DataFrame]]:
-    """Parts of the shingles, each of one size and small enough to broadcast."""
+    """Parts of the shingles, each of one size and small enough to broadcast.
+
+    Rows are dealt by all they hold beside words, as one shingle may be in most items.
+    """
     counts = {r["size"]: r["n"] for r in shingles.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    dealt = F.xxhash64(*(c for c in shingles.columns if c != "words"))
     parts = []
     for size, n in sorted(counts.items()):
         blocks = -(-n // BLOCK_ROWS)
         own = shingles.where(F.col("size") == size)
         parts += [
-            (size, own.where(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else own)
+            (size, own.where(F.pmod(dealt, F.lit(blocks)) == k) if blocks > 1 else own)
             for k in range(blocks)
         ]
     return parts
 
 
 def prefix_shingles(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rarest shingle of each window, with the item's words around it."""
+    """The rarest shingle of each window, with the item's ``m`` words around it; it is at ``q`` of them."""
     shingles = kept_table(docs.sparkSession, item_shingles(items), "item-shingles")
     distinct = shingles.select("h", "size").distinct()
     counted = [
         _positions(docs, part.select("h"), size, "inner").groupBy("key").agg(F.count("*").alias("n"))
         for size, part in _blocks(distinct)
     ]
+    result = ["h", "item_id", "size", "span", F.col("at").alias("q"), "words"]
     if not counted:
-        return shingles.select("h", "item_id", "size", "span", "q", "words").withColumn(
-            "m", F.size("words")
-        )
+        return shingles.select(*result, F.size("words").alias("m"))
     rarity = reduce(DataFrame.unionAll, counted).withColumnRenamed("key", "h")
     ranked = shingles.join(rarity, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.greatest(F.col("q") - (F.col("span") - F.col("size")), F.lit(0))
-    last = F.least(F.col("q"), F.size("words") - F.col("span"))
+    last = F.least(F.col("q"), F.col("m") - F.col("span"))
     rarest = (
         ranked.select("item", "h", "q", "n", F.explode(F.sequence(first, last)).alias("start"))
         .groupBy("item", "start")
@@ -126,9 +138,7 @@ def prefix_shingles(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("item", F.col("best.q").alias("q"))
         .distinct()
     )
-    return shingles.join(rarest, ["item", "q"]).select(
-        "h", "item_id", "size", "span", "q", "words", F.size("words").alias("m")
-    )
+    return shingles.join(rarest, ["item", "q"]).select(*result, F.size("words").alias("m"))
 
 
 def _agreeing(a: Column, b: Column) -> Column:

@@ -118,6 +118,23 @@ def test_contamination_is_exact(spark, monkeypatch, block):
     assert plain(got.collect()) == plain(brute_contamination(rows, items))
 
 
+def test_rows_of_the_broadcast_are_bounded(spark, monkeypatch):
+    """By long items, and by one text under many ids: its shingles are dealt over the blocks."""
+    monkeypatch.setattr(decontamination, "BLOCK_ROWS", 200)
+    long = " ".join(f"w{i}" for i in range(2_000))
+    items = [(0, long)] + [(i, "same words in each of many items") for i in range(1, 60)]
+    rows = [(1, "x " + " ".join(long.split()[700:740]) + " y"), (2, "the same words in each of many items")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows)
+    prefixes = decontamination.prefix_shingles(docs, benchmark).cache()
+    assert prefixes.selectExpr("max(size(words)) AS n").first().n < 2 * decontamination.WINDOW
+    parts = decontamination._blocks(prefixes)
+    assert sum(part.count() for _, part in parts) == prefixes.count()
+    assert max(part.where("item_id > 0").count() for _, part in parts) < 59
+    got = decontamination.contamination(docs, benchmark).drop("kth")
+    assert plain(got.collect()) == plain(brute_contamination(rows, items))
+
+
 def test_contamination_of_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.contamination(docs, none)
