@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventfold.llm import bpe, chat, decontamination, pii
-from eventfold.llm.common import table
+from eventfold.llm.common import small_batches, table
 from eventfold.llm.extraction import main_texts
 from eventfold.llm.fingerprints import fingerprints
 from eventfold.llm.jaccard import linked
@@ -35,6 +35,7 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    small_batches(spark)
     docs = table(prepare(spark), sf_dir, "documents")
     return bpe.encoded(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",

@@ -68,14 +68,9 @@ def test_heap_merges_as_the_library(encoding):
         assert bpe.merged_with_heap(word, ranks) == encoding._encode_single_piece(word)
 
 
-def test_codes_unpack():
-    import numpy as np
-    import zstandard
-
-    press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    edges = [0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 2**28, 2**32 - 1]
-    for codes in ([], [0], [2**32 - 1], edges, edges[::-1] * 3, [127] * 5):
-        assert bpe._unpacked(bpe._packed(np.array(codes, np.uint32), press), open_) == codes
+def test_encoding_has_no_shuffle_of_texts(docs):
+    plan = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN)._jdf
+    assert "Exchange" not in plan.queryExecution().executedPlan().toString()
 
 
 def test_empty_tables(no_docs):
