@@ -2,8 +2,8 @@
 
 A text is cut into words by a pattern; each word's bytes are merged pair by pair, the pair of
 lowest rank first, the leftmost of equals. The merging runs on distinct words only, as a fold of
-Spark's higher-order functions: the state is the bounds of the tokens and the ranks of neighbouring
-pairs, a step takes the bound inside the best pair out and ranks the two pairs beside it, in a
+Spark's higher-order functions: the state is the bounds of the tokens and the ranks of the pairs
+of neighbours, a step takes the bound inside the best pair out and ranks the two pairs beside it, in a
 literal rank map. The map is a literal array of small maps, found by hash, as Spark looks a map's
 keys up one by one.
 
@@ -76,10 +76,10 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 def folded(words: Column, ranks: Column) -> Column:
     """The ids of each of an array of words given as text; null for those above ``LONG`` bytes.
 
-    The state of the fold is the bounds of the tokens and the ranks of the pairs of neighbours. A
-    step finds the least rank, the leftmost of equals, takes the bound inside that pair out, and
-    ranks the two pairs that its token is now in; all other ranks stay. The rank map is in the plan
-    once, bound to a name, as it is large.
+    The state of the fold is the bounds of the tokens and, at each byte, the rank of the pair that
+    begins there, ``NONE`` where none does. A step finds the least rank, the leftmost of equals, takes
+    the bound inside that pair out, and ranks the two pairs that its token is now in; all other ranks
+    stay where they are. The rank map is in the plan once, bound to a name, as it is large.
     """
     return once(
         ranks,
@@ -91,47 +91,50 @@ def folded(words: Column, ranks: Column) -> Column:
 
 def _folded(word: Column, known: Column) -> Column:
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    empty = F.array().cast("array<int>")
 
     def rank(token: Column) -> Column:
         at = F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
         return F.coalesce(F.element_at(F.get(known, at), token), F.lit(NONE))
 
     def between(w: Column, begin: Column, end: Column) -> Column:
-        return rank(F.substring(w, begin, end - begin))
+        return rank(F.substring(w, begin + 1, end - begin))
 
-    def merged(w: Column, state: Column, i: Column) -> Column:
+    def merged(w: Column, state: Column, begin: Column) -> Column:
         bounds, pairs = state["bounds"], state["pairs"]
-        # of the i-th pair, counted from one: it lies between the i-th bound and the second after
-        left = F.when(i > 1, F.array(between(w, F.get(bounds, i - 2), F.get(bounds, i + 1))))
-        right = F.when(i < F.size(pairs), F.array(between(w, F.get(bounds, i - 1), F.get(bounds, i + 2))))
-        return F.struct(
-            F.concat(F.slice(bounds, F.lit(1), i), F.slice(bounds, i + 2, F.size(bounds))).alias("bounds"),
-            F.concat(
-                F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                F.coalesce(left, empty),
-                F.coalesce(right, empty),
-                F.slice(pairs, i + 2, F.size(pairs)),
-            ).alias("pairs"),
-        )
+
+        def joined(i: Column) -> Column:  # the pair begins at the i-th bound, counted from one
+            before, middle, end, after = (F.get(bounds, i + k) for k in (-2, 0, 1, 2))
+            # branches are worked out where they hold: each of the two ranks once
+            renewed = lambda r, at: (
+                F.when((at < before) | (at > middle), r)
+                .when(at == begin, between(w, begin, after))
+                .when(at == before, between(w, before, end))
+                .otherwise(NONE)
+            )
+            return F.struct(
+                F.array_remove(bounds, middle).alias("bounds"),
+                F.transform(pairs, renewed).alias("pairs"),
+            )
+
+        return once(F.array_position(bounds, begin).cast("int"), joined)
 
     def step(w: Column, state: Column) -> Column:
         def best(least: Column) -> Column:
-            at = F.array_position(state["pairs"], least).cast("int")
-            return F.when(least < NONE, once(at, lambda i: merged(w, state, i))).otherwise(state)
+            at = F.array_position(state["pairs"], least).cast("int") - 1
+            return F.when(least < NONE, once(at, lambda begin: merged(w, state, begin))).otherwise(state)
 
         return once(F.array_min(state["pairs"]), best)
 
     def ids(w: Column) -> Column:
         n = F.length(w)
         begin = F.struct(
-            F.sequence(F.lit(1), n + 1).alias("bounds"),
-            F.transform(F.sequence(F.lit(1), n - 1), lambda i: between(w, i, i + 2)).alias("pairs"),
+            F.sequence(F.lit(0), n).alias("bounds"),
+            F.transform(F.sequence(F.lit(0), n - 2), lambda i: between(w, i, i + 2)).alias("pairs"),
         )
         bounds = F.aggregate(
             F.sequence(F.lit(1), n - 1),
             begin,
-            lambda state, _: F.when(F.size(state["pairs"]) == 0, state).otherwise(step(w, state)),
+            lambda state, _: step(w, state),
             lambda state: state["bounds"],
         )
         return once(
@@ -209,7 +212,10 @@ def _coded(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, list[s
     """The place of each word, or beyond all places that of its first miss; the misses."""
     missed: dict[str, int] = {}
     n = len(places)
-    codes = [places[w] if w in places else n + missed.setdefault(w, len(missed)) for w in words]
+    codes = [
+        place if (place := places.get(w)) is not None else n + missed.setdefault(w, len(missed))
+        for w in words
+    ]
     return np.array(codes, "<u4"), list(missed)
 
 
