@@ -348,6 +348,99 @@ def changelog_from(
     return _running(_with_carry(rows, run_bits, runs, fresh, start))
 
 
+def continued(
+    rows: DataFrame, known: DataFrame, start: DataFrame, run_bits: int = RUN_BITS, changelog: bool = True
+) -> DataFrame:
+    """The changelog of ``billing_events`` of ordinary keys that go on from earlier ones, and their state.
+
+    ``known`` is ``key, paymentId`` of the requests listed so far, ``start`` the state of the keys by
+    then, as for ``changelog_from``; both may have other keys. Beside the columns of
+    ``billing_changelog`` the last row of a key has its ``state``, a row of ``start`` as it is
+    now (with ``billed`` for ``billed_at``, and ``listed`` for the payments it had). Without
+    ``changelog`` there are only rows that list a request or have a state.
+
+    One shuffle on the key and two sorts, which take a hash of the key first: keys are alike in
+    their leading characters.
+    """
+    request = F.col("payment_request")
+    listed = known.where("paymentId IS NOT NULL").select("key", "paymentId", F.lit(True).alias("asks"), F.lit(0).alias("arrived"))
+    was = F.struct(*[c for c in start.columns if c not in ("key", "open_failure")], errored().alias("errored"))
+    all_rows = (
+        rows.withColumns({"paymentId": request["paymentId"], "asks": request.isNotNull(), "arrived": F.lit(1)})
+        .unionByName(listed, allowMissingColumns=True)
+        .unionByName(
+            start.select("key", F.lit(False).alias("asks"), F.lit(0).alias("arrived"), "bill",
+                         F.col("open_failure").alias("payment_failed"), was.alias("was")),
+            allowMissingColumns=True,
+        )
+        .withColumn("h", F.xxhash64("key"))
+    )
+    by_payment = Window.partitionBy("h", "key", "asks", "paymentId").orderBy("arrived", "seq")
+    in_order = Window.partitionBy("h", "key").orderBy(F.col("seq").asc_nulls_first())
+    so_far, earlier, all_of = upto(in_order), before(in_order), whole(in_order)
+    is_bill, is_request, is_failure = (F.coalesce(F.expr(k), F.lit(False)) for k in (IS_BILL, IS_REQUEST, IS_FAILURE))
+    # a state stands for the events that led to it: an open failure for the failure that left it
+    step = F.when(is_request, "request").when(F.col("payment_failed").isNotNull(), "failure")
+    follows = F.coalesce(F.last("step", ignorenulls=True).over(earlier) == "failure", F.lit(False))
+    bill_before = F.last("bill", ignorenulls=True).over(earlier)
+    leads = F.coalesce("was.leads_with_failure", F.when(is_request | is_failure, is_failure))
+    state = F.struct(
+        F.min(F.coalesce("was.run", run_of("seq", run_bits))).over(all_of).alias("run"),
+        F.min(F.coalesce("was.first_seq", "seq")).over(all_of).alias("first_seq"),
+        F.max(F.coalesce("was.has_request", is_request)).over(all_of).alias("has_request"),
+        F.last("bill", ignorenulls=True).over(all_of).alias("bill"),
+        F.min(F.when(F.col("was").isNotNull(), F.col("was.bill_low")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_low"),
+        F.max(F.when(F.col("was").isNotNull(), F.col("was.bill_high")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_high"),
+        F.max(F.coalesce("was.repeated", is_failure & F.col("follows"))).over(all_of).alias("repeated"),
+        F.first(leads, ignorenulls=True).over(all_of).alias("leads_with_failure"),
+        F.sum(F.coalesce("was.payments", F.col("new").cast("long"))).over(all_of).alias("payments"),
+        F.max(F.coalesce("was.last_seq", "seq")).over(all_of).alias("last_seq"),
+        F.max(is_bill).over(all_of).alias("billed"),
+        F.max("was.billed_at").over(all_of).alias("billed_at"),
+        F.max("was.payments").over(all_of).alias("listed"),
+    )
+    opened = F.last("opening", ignorenulls=True).over(so_far)
+    bill = F.last("bill", ignorenulls=True).over(so_far)
+    last = F.lead(F.lit(1)).over(in_order).isNull()
+    out = (
+        all_rows.repartition("key")
+        .withColumn("new", F.col("asks") & (F.col("arrived") == 1) & (F.row_number().over(by_payment) == 1))
+        .where("kind IS NOT NULL OR was IS NOT NULL")
+        .withColumn("step", step)
+        .withColumns({"follows": follows, "bill_before": bill_before})
+        .withColumns(
+            {
+                "error": F.coalesce(
+                    "was.errored",
+                    (is_bill & F.col("bill_before").isNotNull() & ~F.col("bill_before").eqNullSafe(F.col("bill")))
+                    | (is_failure & F.col("follows")),
+                ),
+                "opening": F.when(~F.col("follows"), F.col("payment_failed")),
+            }
+        )
+        .withColumns(
+            {
+                "addedRequest": F.when(F.col("new"), request),
+                "paymentCount": F.sum(F.coalesce("was.payments", F.col("new").cast("long"))).over(so_far),
+                "lastPaymentFailed": F.when(F.last("step", ignorenulls=True).over(so_far) == "failure", opened),
+                "bill_now": bill,
+                "errored": F.max("error").over(so_far),
+                "last": last,
+                "state": state,
+            }
+        )
+        .where("seq IS NOT NULL")
+        .withColumn("state", F.when(F.col("last"), F.col("state")))
+    )
+    if not changelog:
+        keep = F.col("last")
+        out = out.where("last OR new").withColumn("lastPaymentFailed", F.when(keep, F.col("lastPaymentFailed")))
+        return out.select("key", "seq", "addedRequest", "paymentCount", "lastPaymentFailed", "state")
+    return out.select(
+        "key", "seq", "kind", F.col("bill_now").alias("bill"), "addedRequest", "paymentCount", "lastPaymentFailed", "errored", "state"
+    )
+
+
 def _mark_first_requests(rows, run_bits, fresh=None):
     """Flag the first request of each payment id by placing a mark right before it."""
     if fresh is None:

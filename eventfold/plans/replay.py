@@ -2,33 +2,49 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from eventfold.schemas import EVENT
-from eventfold.session import scratch
+from eventfold.session import file_system, scratch
 from eventfold.sources.log import Log, read_events
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def replay(
     events: DataFrame, stretch: Column, stretches: int, begin: Callable[[DataFrame], StreamingQuery]
 ) -> None:
     """Feed the events to ``begin`` in ``stretches`` restarts from the same checkpoint.
 
-    ``stretch`` numbers the events from 0 and must not fall along a key's order.
+    ``stretch`` numbers the events from 0 and must not fall along a key's order. Events are written
+    once, each stretch to files of its own, which are moved into the log when their turn comes.
     """
     spark = events.sparkSession
     staging, source = scratch(spark, "staging"), scratch(spark, "log")
     columns = [field.name for field in EVENT]
-    events.select(*columns, stretch.alias("stretch")).write.partitionBy("stretch").parquet(staging)
-    staged = spark.read.schema(StructType([*EVENT, StructField("stretch", IntegerType())])).parquet(
-        staging
-    )
+    usual = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, stretches + 1)  # a file open for each stretch, so no sort by it
+    try:
+        events.select(*columns, stretch.alias("stretch")).write.partitionBy("stretch").parquet(staging)
+    finally:
+        spark.conf.set(WRITERS, usual)
     for i in range(stretches):
-        staged.where(F.col("stretch") == i).select(*columns).write.mode("append").parquet(source)
+        if not _move(spark, f"{staging}/stretch={i}", source, i):
+            spark.createDataFrame([], EVENT).write.mode("append").parquet(source)
         query = begin(read_events(spark, Log(path=source), streaming=True))
         query.awaitTermination()
         if query.exception():
             raise query.exception()
+
+
+def _move(spark: SparkSession, folder: str, source: str, i: int) -> int:
+    """Move the files of a folder into the log, under names of their own; gives their number."""
+    fs, at = file_system(spark, folder)
+    files = list(fs.listStatus(at)) if fs.exists(at) else []
+    fs.mkdirs(file_system(spark, source)[1])
+    for file in files:
+        name = f"stretch-{i}-{file.getPath().getName()}"
+        if not fs.rename(file.getPath(), file_system(spark, f"{source}/{name}")[1]):
+            raise OSError(f"{file.getPath().toString()} could not be moved into {source}")
+    return len(files)

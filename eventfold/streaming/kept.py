@@ -16,7 +16,9 @@ not the life of the stream; a record is served from state, not folded again.
 * Meters are added up in the manifest, so they survive restarts and count nothing twice.
 
 State, changelog, pages and meters of a micro-batch become visible together (``streaming.state``).
-Keys are never measured: every key is folded in runs, which bounds what a task holds of a hot one.
+Counts and chasers are folded in runs whatever the key, which bounds what a task holds of a hot one.
+Billing counts the events of each key of a micro-batch first, from the key column alone: ordinary
+keys take one shuffle on the key, hot ones runs. So the rows of a billing micro-batch are read twice.
 """
 
 from collections.abc import Callable
@@ -27,12 +29,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventfold.functions.keys import count_key
 from eventfold.functions.ordered import (
+    BROADCAST_KEYS,
     PAGE_SIZE,
     RUN_BITS,
     number_in_runs,
     of_each_page,
     page_of,
     run_of,
+    split,
 )
 from eventfold.operators import billing, chaser
 from eventfold.operators.counts import countable
@@ -53,12 +57,12 @@ def _still(rows: DataFrame) -> DataFrame:
 class _Batch:
     """A micro-batch being folded: what it starts from, what it keeps, what it writes."""
 
-    def __init__(self, rows: DataFrame, table: str, known: Manifest, number: int):
+    def __init__(self, rows: DataFrame, table: str, known: Manifest, number: int, hold: bool = True):
         self.spark, self.table, self.known, self.number = rows.sparkSession, table, known, number
         # streams turn it off for their own plans; what is planned here is plain batch work
         self.spark.conf.set("spark.sql.adaptive.enabled", "true")
         self.held: list[DataFrame] = []
-        self.rows = self.keep(rows)
+        self.rows = self.keep(rows) if hold else rows
         self.next = known
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -72,11 +76,24 @@ class _Batch:
         self.buckets = sorted(r.bucket for r in found)
         return found
 
+    def look_by_key(self, hot_rows: int) -> tuple[list, DataFrame | None]:
+        """One pass over the keys: rows of each bucket that is touched, and the hot keys if any."""
+        counted = self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        bucket = state.bucket_of("key", self.known.buckets).alias("bucket")
+        found = counted.groupBy(bucket).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > hot_rows).alias("hot")).collect()
+        self.buckets = sorted(r.bucket for r in found)
+        hot = counted.where(F.col("n") > hot_rows).select("key")
+        many = sum(r.hot for r in found)
+        if many:  # measured once, as the rows may be costly to read
+            hot = self.keep(hot)
+            hot = F.broadcast(hot) if many <= BROADCAST_KEYS else hot
+        return found, hot if many else None
+
     def read(self, part: str, keys: list[str] | None = None) -> DataFrame:
         return state.read(self.spark, self.table, self.known, part, self.buckets, keys)
 
-    def write(self, part: str, rows: DataFrame, keys: list[str] | None = None) -> None:
-        args = self.spark, self.table, self.next, part, rows, self.number, self.buckets, keys
+    def write(self, part: str, rows: DataFrame, keys: list[str] | None = None, once: bool = False) -> None:
+        args = self.spark, self.table, self.next, part, rows, self.number, self.buckets, keys, once
         self.next = state.write(*args)
 
     def append(self, part: str, rows: DataFrame) -> None:
@@ -95,6 +112,7 @@ def _run(
     checkpoint: str,
     every: str | None,
     buckets: int,
+    hold: bool = True,
 ) -> StreamingQuery:
     """Start a stream whose micro-batches are folded and committed one by one."""
     state.create(rows.sparkSession, table, checkpoint, buckets, parts)
@@ -103,7 +121,7 @@ def _run(
         known = state.begun(batch_rows.sparkSession, table, number)
         if known is None:
             return
-        batch = _Batch(batch_rows, table, known, number)
+        batch = _Batch(batch_rows, table, known, number, hold)
         try:
             batch.commit(fold(batch))
         finally:
@@ -309,38 +327,43 @@ def keep_billing(
     publish: bool = False,
     page_size: int = PAGE_SIZE,
     run_bits: int = RUN_BITS,
+    hot_rows: int | None = None,
 ) -> StreamingQuery:
-    """Keep the billing records: a row of state by key, and each payment's first request."""
+    """Keep the billing records: a row of state by key, and each payment's first request.
+
+    Keys of at most ``hot_rows`` events in a micro-batch (by default the rows of a run) are folded
+    in one shuffle on the key, hot ones in runs.
+    """
     rows = billing.billing_events(events)
-    by_payment = ["key", "paymentId"]
+    hot_rows = 2**run_bits if hot_rows is None else hot_rows
 
     def fold(batch: _Batch) -> dict:
-        looked = batch.look(F.count(F.lit(1)).alias("n"))
-        keys = batch.rows.select("key").distinct()
-        start = batch.keep(batch.read("state", BY_KEY).join(keys, "key", "left_semi"))
-        known = batch.read("requests", by_payment)
-        fresh = billing.first_requests(batch.rows).join(known, by_payment, "left_anti")
-        begin = start.select("key", F.col("payments").alias("count"))
-        in_runs = fresh.withColumn("run", run_of("seq", run_bits))
-        fresh = number_in_runs(in_runs, BY_KEY, ["run"], [F.col("seq")], "position", begin)
-        fresh = batch.keep(fresh.withColumn("batch", _at(batch)).drop("run"))
-        runs = billing.billing_runs(batch.rows, run_bits)
+        looked, hot = batch.look_by_key(hot_rows)
+        cold, busy = split(batch.rows, hot)
+        was, known = batch.read("state", BY_KEY), batch.read("requests")
+        done = batch.keep(billing.continued(cold, known.select("key", "paymentId"), was, run_bits, changelog))
+        fresh, now = _of_ordinary(done, batch)
+        log = done.drop("state")
+        if busy is not None:
+            busy_log, busy_fresh, busy_now = _of_hot(batch, batch.keep(busy), was, known, run_bits, changelog)
+            fresh, now = batch.keep(fresh.unionByName(busy_fresh)), batch.keep(now.unionByName(busy_now))
+            log = log.unionByName(busy_log) if changelog else log
         if changelog:
-            runs = batch.keep(runs)
-            log = billing.changelog_from(batch.rows, runs, fresh, start, run_bits)
             batch.append("changelog", log)
-        now = batch.keep(_billing_state(batch.rows, runs, fresh, start, batch.number))
         first = Observation()
-        told = now.observe(first, F.count_if(F.col("billed_at") == batch.number).alias("bills"))
+        told = now.drop("listed").observe(first, F.count_if(F.col("billed_at") == batch.number).alias("bills"))
         if publish:
-            from_page = page_of(F.least(F.coalesce("count", F.lit(0)) + 1, F.greatest("payments", F.lit(1))), page_size)
-            touched = now.join(begin, "key", "left").withColumn("from_page", from_page)
-            after = touched.select("key", "from_page")
-            listed = known.drop("batch").unionByName(fresh.drop("batch")).join(after, "key")
-            listed = listed.where(page_of("position", page_size) >= F.col("from_page")).drop("from_page")
+            # what was listed before matters where the first page that changed had begun by then
+            begun = F.coalesce("listed", F.lit(0).cast("long"))
+            from_page = page_of(F.least(begun + 1, F.greatest("payments", F.lit(1))), page_size)
+            touched = now.withColumn("from_page", from_page)
+            shared = touched.where((begun > 0) & ((begun % page_size != 0) | (begun == F.col("payments"))))
+            listed = known.drop("batch").join(shared.select("key", "from_page"), "key")
+            listed = listed.where(page_of("position", page_size) == F.col("from_page")).drop("from_page")
+            listed = listed.unionByName(fresh.drop("batch"))
             pages = _billing_pages(touched, listed, page_size, F.col("from_page"), "last_seq", "batch")
             batch.append("pages", pages)
-        batch.write("requests", fresh, by_payment)
+        batch.write("requests", fresh, ["key", "paymentId"], once=True)
         batch.write("state", told, BY_KEY)
         meters = batch.known.meters
         return {
@@ -358,7 +381,47 @@ def keep_billing(
         parts["changelog"] = billing.billing_changelog(_events_of(events.sparkSession), None)
     if publish:
         parts["pages"] = _billing_pages(like, requests, page_size, None, "last_seq", "batch")
-    return _run(rows, parts, fold, table, checkpoint, every, buckets)
+    return _run(rows, parts, fold, table, checkpoint, every, buckets, hold=False)
+
+
+def _of_ordinary(done: DataFrame, batch: _Batch) -> tuple[DataFrame, DataFrame]:
+    """The requests that ``billing.continued`` has listed, and the state of its keys."""
+    fresh = done.where("addedRequest IS NOT NULL").select(
+        "key",
+        F.col("addedRequest.paymentId").alias("paymentId"),
+        "seq",
+        F.col("addedRequest").alias("payment_request"),
+        F.col("paymentCount").alias("position"),
+        _at(batch).alias("batch"),
+    )
+    billed_at = F.coalesce("state.billed_at", F.when(F.col("state.billed"), _at(batch)))
+    names = ("run", "first_seq", "has_request", "bill", "bill_low", "bill_high", "repeated", "leads_with_failure", "payments", "last_seq", "listed")
+    now = done.where("state IS NOT NULL").select(
+        "key",
+        *[F.col(f"state.{n}").alias(n) for n in names],
+        F.col("lastPaymentFailed").alias("open_failure"),
+        billed_at.alias("billed_at"),
+        _at(batch).alias("batch"),
+    )
+    return fresh, now
+
+
+def _of_hot(
+    batch: _Batch, rows: DataFrame, was: DataFrame, known: DataFrame, run_bits: int, changelog: bool
+) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """The changelog of hot keys, the requests they list, and their state; folded in runs."""
+    by_payment = ["key", "paymentId"]
+    keys = rows.select("key").distinct()
+    start = batch.keep(was.join(keys, "key", "left_semi"))
+    fresh = billing.first_requests(rows).join(known, by_payment, "left_anti")
+    begin = start.select("key", F.col("payments").alias("count"))
+    in_runs = fresh.withColumn("run", run_of("seq", run_bits))
+    fresh = number_in_runs(in_runs, BY_KEY, ["run"], [F.col("seq")], "position", begin)
+    fresh = batch.keep(fresh.withColumn("batch", _at(batch)).drop("run"))
+    runs = batch.keep(billing.billing_runs(rows, run_bits))
+    log = billing.changelog_from(rows, runs, fresh, start, run_bits) if changelog else None
+    now = _billing_state(rows, runs, fresh, start, batch.number)
+    return log, fresh, now.join(begin.withColumnRenamed("count", "listed"), "key", "left")
 
 
 def _billing_state(rows: DataFrame, runs: DataFrame, fresh: DataFrame, start: DataFrame, number: int) -> DataFrame:
@@ -408,7 +471,7 @@ def _billing_pages(totals: DataFrame, requests: DataFrame, page_size: int, first
 def kept_billing(spark: SparkSession, table: str, page_size: int = PAGE_SIZE) -> DataFrame:
     """The billing records as of the last micro-batch."""
     known = state.latest(spark, table)
-    requests = state.read(spark, table, known, "requests", keys=["key", "paymentId"])
+    requests = state.newest_of_none(state.read(spark, table, known, "requests"), ["key", "paymentId"])
     return _billing_pages(state.read(spark, table, known, "state", keys=BY_KEY), requests, page_size, None)
 
 

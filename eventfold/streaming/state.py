@@ -24,10 +24,12 @@ import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventfold.session import file_system as _fs
+
 BUCKETS = 64
 KEPT = 3
 FOLDER = "_manifests"
@@ -51,11 +53,6 @@ def bucket_of(key: str | Column, buckets: int) -> Column:
 # --- files -----------------------------------------------------------------------------------
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def _names(spark: SparkSession, path: str) -> list[str]:
     fs, at = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
@@ -160,9 +157,18 @@ def _rows(spark: SparkSession, table: str, about: dict, part: str, live: list[tu
 
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows with the same keys the one of the latest batch."""
-    rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), "batch").alias("_last")
-    return rows.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*rows.columns)
+    columns = rows.columns
+    last = F.max("batch").over(Window.partitionBy(*keys))
+    return rows.withColumn("_last", last).where("batch = _last").select(*columns)
+
+
+def newest_of_none(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``newest`` of rows that are written once for their keys, but for keys that are null.
+
+    A null is not found again among what is known, so only such rows may have come again.
+    """
+    null = " OR ".join(f"`{k}` IS NULL" for k in keys)
+    return rows.where(f"NOT ({null})").unionByName(newest(rows.where(null), keys))
 
 
 def read(
@@ -203,11 +209,12 @@ def write(
     batch: int,
     buckets: list[int],
     keys: list[str] | None = None,
+    once: bool = False,
 ) -> Manifest:
     """Write what a micro-batch changed; gives the manifest to commit, as yet seen by nobody.
 
     ``buckets`` are those that rows may fall into. With ``keys``, merging keeps the newest row
-    of each; without, all.
+    of each; without, all. ``once`` says that no keys but null ones are ever written again.
     """
     about = manifest.parts[part]
     generation = f"{batch}-{uuid.uuid4().hex[:12]}"
@@ -222,7 +229,8 @@ def write(
     if taken:
         old = _rows(spark, table, about, part, taken)
         rows = old.unionByName(rows)
-        rows = newest(rows, keys) if keys else rows
+        if keys:
+            rows = newest_of_none(rows, keys) if once else newest(rows, keys)
     columns = StructType.fromJson(json.loads(about["schema"])).names
     order = ["bucket", *(keys or [c for c in ("key", "seq") if c in columns])]
     path = f"{table}/{part}/gen={generation}"
