@@ -9,8 +9,6 @@ from eventfold.schemas import EVENT
 from eventfold.session import file_system, scratch
 from eventfold.sources.log import Log, read_events
 
-WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
-
 
 def replay(
     events: DataFrame, stretch: Column, stretches: int, begin: Callable[[DataFrame], StreamingQuery]
@@ -23,12 +21,9 @@ def replay(
     spark = events.sparkSession
     staging, source = scratch(spark, "staging"), scratch(spark, "log")
     columns = [field.name for field in EVENT]
-    usual = spark.conf.get(WRITERS)
-    spark.conf.set(WRITERS, stretches + 1)  # a file open for each stretch, so no sort by it
-    try:
-        events.select(*columns, stretch.alias("stretch")).write.partitionBy("stretch").parquet(staging)
-    finally:
-        spark.conf.set(WRITERS, usual)
+    staged = events.select(*columns, stretch.alias("stretch")).write.partitionBy("stretch")
+    # ids hardly repeat: a dictionary of them is made for nothing
+    staged.option("parquet.enable.dictionary", "false").parquet(staging)
     for i in range(stretches):
         if not _move(spark, f"{staging}/stretch={i}", source, i):
             spark.createDataFrame([], EVENT).write.mode("append").parquet(source)

@@ -239,6 +239,7 @@ def write(
         .hint("rebalance", "bucket")
         .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
+        .option("parquet.enable.dictionary", "false")  # keys and ids hardly repeat
         .parquet(path)
     )
     for name in _names(spark, path):
