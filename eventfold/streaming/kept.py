@@ -76,6 +76,13 @@ class _Batch:
         self.buckets = sorted(r.bucket for r in found)
         return found
 
+    def count_by_key(self) -> DataFrame:
+        """One pass over the keys: ``key, n``, and the buckets that are touched."""
+        counted = self.keep(self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        bucket = state.bucket_of("key", self.known.buckets).alias("bucket")
+        self.buckets = sorted(r.bucket for r in counted.select(bucket).distinct().collect())
+        return counted
+
     def look_by_key(self, hot_rows: int) -> tuple[list, DataFrame | None]:
         """One pass over the keys: rows of each bucket that is touched, and the hot keys if any."""
         counted = self.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -147,8 +154,7 @@ def keep_counts(
     rows = countable(events).select(count_key().alias("key"), "seq", "kind", F.col("key").alias("of"))
 
     def fold(batch: _Batch) -> dict:
-        batch.look(F.count(F.lit(1)).alias("n"))
-        keys = batch.rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        keys = batch.count_by_key()
         start = batch.read("state", BY_KEY).join(keys.select("key"), "key", "left_semi")
         if changelog:
             in_runs = batch.rows.withColumn("run", run_of("seq", run_bits))
