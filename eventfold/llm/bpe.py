@@ -2,15 +2,15 @@
 
 A text is cut into words by a pattern; each word's bytes are merged pair by pair, the pair of
 lowest rank first, the leftmost of equals. The merging runs on distinct words only, as a fold of
-Spark's higher-order functions: the state is the bounds of the tokens and the ranks of the pairs
-of neighbours, a step takes the bound inside the best pair out and ranks the two pairs beside it, in a
-literal rank map. The map is a literal array of small maps, found by hash, as Spark looks a map's
-keys up one by one.
+Spark's higher-order functions: the state is a number for each pair of neighbours, made of its
+rank and its place, a step merges the least and ranks the two pairs beside it, in a literal rank map.
+The map is a literal array of small maps, found by hash, as Spark looks a map's keys up one by one.
 
 Texts are not exploded, and nothing but words of the sample is shuffled. Words that are frequent in
 a bounded sample are folded first, and their codes are broadcast. One pass then turns texts into
 codes and a list of the distinct words it could not find, for some documents at a time; a fold over
-that list gives their ids where they stand, and a second pass joins ids and bytes. A word that is
+that list gives their ids where they stand, and a second pass joins the ids of the words and the
+bytes of the ids, by numpy for a whole stretch of documents. A word that is
 not frequent is so folded once for each stretch of ``STRETCH`` words that has it: 1.02 times as often
 as once in all on 60 MB of text (not measured on more, where it may rise). That spares a shuffle of
 every text's codes.
@@ -45,8 +45,11 @@ FREQUENT = 262_144
 WORD_BYTES = 64
 LONG = 512
 STRETCH = 200_000  # words of documents that are coded together, if one has no more itself
+JOINED_AT_ONCE = 1 << 18
 BUCKETS = 16_384
+FIELD = 10  # bits of a place in a word that is folded, one of 0 to LONG
 NONE = 2**31 - 1
+GONE = 2**62
 PLAN_TEXT = 20_000
 
 
@@ -66,21 +69,24 @@ def checked_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """A literal array of maps, from bytes (as Latin-1 text) to rank."""
+    """A literal array of maps, from bytes (as Latin-1 text) to rank, above the bits of a pair's bounds."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         text = token.decode("latin-1")
-        buckets[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        buckets[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS][text] = rank << 3 * FIELD
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>")
 
 
 def folded(words: Column, ranks: Column) -> Column:
     """The ids of each of an array of words given as text; null for those above ``LONG`` bytes.
 
-    The state of the fold is the bounds of the tokens and, at each byte, the rank of the pair that
-    begins there, ``NONE`` where none does. A step finds the least rank, the leftmost of equals, takes
-    the bound inside that pair out, and ranks the two pairs that its token is now in; all other ranks
-    stay where they are. The rank map is in the plan once, bound to a name, as it is large.
+    The state of the fold is an array with a number for each byte. Where a token begins, it is made
+    of the rank of the pair of that token and the next, ``NONE`` if there is none, then where the token
+    begins, where the one before it does, and where it ends; elsewhere it is ``GONE``. So the least number
+    is the pair to merge, the leftmost of equals, and tells its place: nothing is searched for, as
+    Spark's ``array_position`` ends each search by an exception. A step renews the numbers of the
+    pair, of its two neighbours, and of the token taken in; all others stay as they are. The rank map
+    is in the plan once, bound to a name, as it is large.
     """
     return once(
         ranks,
@@ -92,62 +98,69 @@ def folded(words: Column, ranks: Column) -> Column:
 
 def _folded(word: Column, known: Column) -> Column:
     chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    none, gone = F.lit(NONE << 3 * FIELD), F.lit(GONE)
 
     def rank(token: Column) -> Column:
         at = F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
-        return F.coalesce(F.element_at(F.get(known, at), token), F.lit(NONE))
+        return F.coalesce(F.element_at(F.get(known, at), token), none)
 
     def between(w: Column, begin: Column, end: Column) -> Column:
         return rank(F.substring(w, begin + 1, end - begin))
 
-    def merged(w: Column, state: Column, begin: Column) -> Column:
-        bounds, pairs = state["bounds"], state["pairs"]
-
-        def joined(i: Column) -> Column:  # the pair begins at the i-th bound, counted from one
-            before, middle, end, after = (F.get(bounds, i + k) for k in (-2, 0, 1, 2))
-            # branches are worked out where they hold: each of the two ranks once
-            renewed = lambda r, at: (
-                F.when((at < before) | (at > middle), r)
-                .when(at == begin, between(w, begin, after))
-                .when(at == before, between(w, before, end))
-                .otherwise(NONE)
-            )
-            return F.struct(
-                F.array_remove(bounds, middle).alias("bounds"),
-                F.transform(pairs, renewed).alias("pairs"),
-            )
-
-        return once(F.array_position(bounds, begin).cast("int"), joined)
+    def field(number: Column, k: int) -> Column:
+        return F.shiftright(number, k * FIELD).bitwiseAND((1 << FIELD) - 1).cast("int")
+
+    def number(rank: Column, begin: Column, before: Column, end: Column) -> Column:
+        begin, before = (F.shiftleft(x.cast("long"), k * FIELD) for x, k in ((begin, 2), (before, 1)))
+        return rank.bitwiseOR(begin).bitwiseOR(before).bitwiseOR(end.cast("long"))
+
+    def renewed(w: Column, pairs: Column, x: Column) -> Column:
+        before, begin, middle, end = (x[c] for c in ("before", "begin", "middle", "end"))
+        after = field(F.get(pairs, end), 0)
+        # branches are worked out where they hold: each of the two ranks once
+        return F.transform(
+            pairs,
+            lambda p, at: F.when((at < before) | (at > end), p)
+            .when(at == begin, number(between(w, begin, after), begin, before, end))
+            .when(at == before, between(w, before, end).bitwiseOR(p.bitwiseAND((1 << 3 * FIELD) - 1)))
+            .when(at == end, p - F.shiftleft((middle - begin).cast("long"), FIELD))
+            .otherwise(gone),
+        )
 
-    def step(w: Column, state: Column) -> Column:
-        def best(least: Column) -> Column:
-            at = F.array_position(state["pairs"], least).cast("int") - 1
-            return F.when(least < NONE, once(at, lambda begin: merged(w, state, begin))).otherwise(state)
+    def step(w: Column, pairs: Column) -> Column:
+        def merged(least: Column) -> Column:
+            middle = field(least, 0)
+            places = F.struct(
+                field(least, 1).alias("before"),
+                field(least, 2).alias("begin"),
+                middle.alias("middle"),
+                field(F.get(pairs, middle), 0).alias("end"),
+            )
+            return F.when(least < none, once(places, lambda x: renewed(w, pairs, x))).otherwise(pairs)
 
-        return once(F.array_min(state["pairs"]), best)
+        return once(F.array_min(pairs), merged)
 
     def ids(w: Column) -> Column:
-        n = F.length(w)
-        begin = F.struct(
-            F.sequence(F.lit(0), n).alias("bounds"),
-            F.transform(F.sequence(F.lit(0), n - 2), lambda i: between(w, i, i + 2)).alias("pairs"),
-        )
-        bounds = F.aggregate(
-            F.sequence(F.lit(1), n - 1),
-            begin,
-            lambda state, _: step(w, state),
-            lambda state: state["bounds"],
-        )
-        return once(
-            bounds,
-            lambda b: F.transform(
-                F.slice(b, F.lit(1), F.size(b) - 1), lambda begin, i: between(w, begin, F.get(b, i + 1))
+        last = F.length(w) - 1
+        begin = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: number(
+                F.when(i < last, between(w, i, i + 2)).otherwise(none),
+                i,
+                F.greatest(i - 1, F.lit(0)),
+                i + 1,
             ),
         )
+        pairs = F.aggregate(F.sequence(F.lit(1), last), begin, lambda pairs, _: step(w, pairs))
+        tokens = F.filter(pairs, lambda p: p < gone)
+        return F.transform(tokens, lambda p: id_of(between(w, field(p, 2), field(p, 0))))
+
+    def id_of(rank: Column) -> Column:
+        return F.shiftright(rank, 3 * FIELD).cast("int")
 
     # a word of one byte has a rank, as every byte does
     whole_word = lambda w: once(
-        rank(w), lambda r: F.when(r < NONE, F.array(r)).otherwise(ids(w))
+        rank(w), lambda r: F.when(r < none, F.array(id_of(r))).otherwise(ids(w))
     )
     return once(chars, whole_word)
 
@@ -209,46 +222,79 @@ def frequent_codes(docs: DataFrame, pattern: str, ranks_path: str) -> pa.Table:
     return found.sort_by([("n", "descending"), ("word", "ascending")])
 
 
-def _coded(words: list[str], places: dict[str, int]) -> tuple[np.ndarray, list[str]]:
-    """The place of each word, or beyond all places that of its first miss; the misses."""
-    missed: dict[str, int] = {}
-    n = len(places)
-    codes = [
-        place if (place := places.get(w)) is not None else n + missed.setdefault(w, len(missed))
-        for w in words
-    ]
-    return np.array(codes, "<u4"), list(missed)
+class Places(dict):
+    """The place of each word; a miss takes the next place beyond all, until it is forgotten."""
+
+    def __init__(self, words: pa.Table) -> None:
+        super().__init__({w: i for i, w in enumerate(words.column("word").to_pylist())})
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.missed.append(word)
+        return place
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The place of each word, and the misses among them, which are forgotten."""
+        codes = np.fromiter(map(self.__getitem__, words), "<u4", len(words))
+        missed, self.missed = self.missed, []
+        for word in missed:
+            del self[word]
+        return codes, missed
 
 
-def _places(words: pa.Table) -> dict[str, int]:
-    return {w: i for i, w in enumerate(words.column("word").to_pylist())}
+class Runs:
+    """Runs of values, to be joined by their numbers."""
 
+    def __init__(self, values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.begins, self.sizes = values, begins, sizes
 
-def _pieces(ids: pa.ListArray) -> list[bytes]:
-    """The ids of each word, as bytes; empty where there are none."""
-    ends = ids.offsets.to_numpy() * 4
-    data = ids.values.to_numpy().astype("<u4").tobytes()
-    return [data[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    @classmethod
+    def of_lists(cls, lists: pa.ListArray) -> "Runs":
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        return cls(lists.values.to_numpy().astype("<u4"), ends[:-1], np.diff(ends))
+
+    def beside(self, other: "Runs") -> "Runs":
+        """These runs, and the others numbered after them."""
+        begins = np.concatenate([self.begins, other.begins + len(self.values)])
+        values = np.concatenate([self.values, other.values])
+        return Runs(values, begins, np.concatenate([self.sizes, other.sizes]))
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the numbered runs, and where each begins and the last ends."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
+        out = np.empty(ends[-1], self.values.dtype)
+        for k in range(0, len(numbers), JOINED_AT_ONCE):
+            some = numbers[k : k + JOINED_AT_ONCE]
+            first, sizes = ends[k : k + len(some)], self.sizes[some]
+            last = ends[k + len(some)]
+            places = np.arange(first[0], last) + np.repeat(self.begins[some] - first, sizes)
+            out[first[0] : last] = self.values[places]
+        return out, ends
 
 
 @functools.lru_cache(maxsize=2)
-def _vocabulary(path: str) -> list[bytes]:
+def _vocabulary(path: str) -> Runs:
+    """The bytes of every id."""
     ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
+    tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        out[rank] = token
-    return out
+        tokens[rank] = token
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return Runs(np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes)
 
 
-def decoded(ids: bytes, vocabulary: list[bytes]) -> bytes:
-    """The bytes of ids, given as little-endian 32-bit integers."""
-    return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Data cut into binary values at these byte offsets."""
+    if ends[-1] >= 2**31:
+        raise ValueError("documents coded together have more than 2 GB of ids or text")
+    offsets = pa.py_buffer(ends.astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(data)])
 
 
 OUT = pa.schema(
     [("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("n_tokens", pa.int64())]
 )
-OUT_BYTES = 8 << 20
 CODES = pa.schema(
     [("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
     + [("codes", pa.binary()), ("missed", pa.list_(pa.string()))]
@@ -268,10 +314,10 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, places = regex.compile(pattern).findall, _places(shared.value)
+        find, places = regex.compile(pattern).findall, Places(shared.value)
 
         def stretch(doc_ids: list, sizes: list[int], words: list[str]) -> pa.RecordBatch:
-            codes, missed = _coded(words, places)
+            codes, missed = places.codes(words)
             row = (doc_ids, sizes, codes.tobytes(), missed)
             return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(CODES.names, row)}, CODES)
 
@@ -291,30 +337,26 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         give_back()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _pieces(shared.value.column("ids").combine_chunks())
-        n, ranks, vocabulary = len(table), read_ranks(ranks_path), _vocabulary(ranks_path)
-        out, size = [], 0
+        table = Runs.of_lists(shared.value.column("ids").combine_chunks())
+        ranks, vocabulary = read_ranks(ranks_path), _vocabulary(ranks_path)
         for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
-            doc_ids, sizes, codes, missed = (row.column(c)[0].as_py() for c in CODES.names)
-            rare = row.column("rare").flatten()
-            pieces = _pieces(rare)
-            for i in np.flatnonzero(rare.is_null().to_numpy(zero_copy_only=False)):
-                ids = merged_with_heap(missed[i].encode(), ranks)
-                pieces[i] = np.array(ids, "<u4").tobytes()
-            codes, at = np.frombuffer(codes, "<u4").tolist(), 0
-            for doc_id, length in zip(doc_ids, sizes):
-                part = codes[at : at + length]
-                at += length
-                ids = b"".join([table[c] if c < n else pieces[c - n] for c in part])
-                text = decoded(ids, vocabulary)
-                out.append((doc_id, ids, text, len(ids) // 4))
-                size += len(ids) + len(text)
-                if size >= OUT_BYTES:
-                    yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_pydict(dict(zip(OUT.names, zip(*out))), schema=OUT)
-        del table, out
+            found = row.column("rare").flatten()
+            rare = Runs.of_lists(found)
+            for i in np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False)).tolist():
+                word = row.column("missed").flatten()[i].as_py()
+                ids = np.array(merged_with_heap(word.encode(), ranks), "<u4")
+                rare.begins[i], rare.sizes[i] = len(rare.values), len(ids)
+                rare.values = np.concatenate([rare.values, ids])
+            codes = np.frombuffer(row.column("codes")[0].as_py(), "<u4")
+            sizes = row.column("sizes").flatten().to_numpy().astype(np.int64)
+            ids, ends = table.beside(rare).joined(codes)
+            # from words of documents to ids, from ids to bytes
+            id_ends = ends[np.concatenate([[0], np.cumsum(sizes)])]
+            text, ends = vocabulary.joined(ids)
+            values = [row.column("doc_ids").flatten(), _binaries(ids, 4 * id_ends)]
+            values += [_binaries(text, ends[id_ends]), pa.array(np.diff(id_ends), pa.int64())]
+            yield pa.RecordBatch.from_arrays(values, schema=OUT)
+        del table
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eventfold.llm import bpe, token_counts
@@ -68,6 +70,39 @@ def test_heap_merges_as_the_library(encoding):
         assert bpe.merged_with_heap(word, ranks) == encoding._encode_single_piece(word)
 
 
+def test_a_fold_searches_for_nothing(spark, encoding):
+    """Each search by ``array_position`` ends in an exception, most of the fold's time."""
+    rng = random.Random(4)
+    alphabets = ["ab", "theions ", "aé€😀 ", "a"]
+    words = [
+        "".join(rng.choice(letters) for _ in range(n))
+        for letters in alphabets
+        for n in (1, 2, 3, 9, 40, 128)
+    ]
+    words += ["a" * bpe.LONG, "a" * (bpe.LONG + 1)]
+    folded = bpe.folded(F.col("words"), bpe.rank_map(bpe.checked_ranks(RANKS)))
+    got = spark.createDataFrame([(words,)], "words array<string>").select(folded.alias("ids"))
+    assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ids = got.first().ids
+    assert ids.pop() is None
+    assert ids == [encoding._encode_single_piece(w.encode()) for w in words[:-1]]
+
+
+def test_runs_are_joined_in_any_chunks(monkeypatch):
+    values, begins = np.arange(100, 120, dtype="<u4"), np.array([0, 3, 3, 10])
+    sizes = np.array([3, 0, 7, 10])
+    first = bpe.Runs(values, begins, sizes)
+    both = first.beside(bpe.Runs(values + 50, begins, sizes))
+    numbers = np.array([7, 0, 1, 1, 2, 4, 5, 3, 0], "<u4")
+    runs = [v[b : b + n].tolist() for v in (values, values + 50) for b, n in zip(begins, sizes)]
+    for chunk in (1, 2, 100):
+        monkeypatch.setattr(bpe, "JOINED_AT_ONCE", chunk)
+        out, ends = both.joined(numbers)
+        assert out.tolist() == [x for k in numbers for x in runs[k]]
+        assert np.diff(ends).tolist() == [len(runs[k]) for k in numbers]
+    assert [x.tolist() for x in first.joined(numbers[:0])] == [[], [0]]
+
+
 def test_encoding_has_no_shuffle_of_texts(docs):
     plan = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN)._jdf
     assert "Exchange" not in plan.queryExecution().executedPlan().toString()
