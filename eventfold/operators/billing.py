@@ -38,6 +38,7 @@ from eventfold.schemas import BILLING_KINDS
 IS_BILL = "kind = 'Bill'"
 IS_REQUEST = "kind = 'PaymentRequest'"
 IS_FAILURE = "kind = 'PaymentFailed'"
+LIMITS = ("bill_low", "bill_high")
 
 
 def billing_events(events: DataFrame) -> DataFrame:
@@ -91,6 +92,16 @@ def errored() -> Column:
     return F.col("repeated") | ~F.col("bill_low").eqNullSafe(F.col("bill_high"))
 
 
+def packed(states: DataFrame) -> DataFrame:
+    """States without ``bill_low`` and ``bill_high`` where these are the ``bill``, as they mostly are."""
+    return states.withColumns({n: F.when(~F.col(n).eqNullSafe(F.col("bill")), F.col(n)) for n in LIMITS})
+
+
+def unpacked(states: DataFrame) -> DataFrame:
+    """``packed`` states with all they had: a key with a bill has a lowest and a highest one."""
+    return states.withColumns({n: F.coalesce(n, "bill") for n in LIMITS})
+
+
 def _list_page(order: str = "seq") -> Column:
     listed = F.sort_array(F.collect_list(F.when(F.col("new"), F.struct(order, "payment_request"))))
     return F.transform(listed, lambda item: item["payment_request"]).alias("paymentRequests")
@@ -360,21 +371,30 @@ def continued(
     ``changelog`` there are only rows that list a request or have a state.
 
     One shuffle on the key and two sorts, which take a hash of the key first: keys are alike in
-    their leading characters.
+    their leading characters. The shuffle carries nothing twice; what can be told from a row is
+    added after it.
     """
     request = F.col("payment_request")
-    listed = known.where("paymentId IS NOT NULL").select("key", "paymentId", F.lit(True).alias("asks"), F.lit(0).alias("arrived"))
-    was = F.struct(*[c for c in start.columns if c not in ("key", "open_failure")], errored().alias("errored"))
+    listed = known.where("paymentId IS NOT NULL").select("key", "paymentId")
+    was = F.struct(*[c for c in start.columns if c not in ("key", "open_failure")], "errored")
+    before_it = packed(start.withColumn("errored", errored()))
     all_rows = (
-        rows.withColumns({"paymentId": request["paymentId"], "asks": request.isNotNull(), "arrived": F.lit(1)})
-        .unionByName(listed, allowMissingColumns=True)
+        rows.unionByName(listed, allowMissingColumns=True)
         .unionByName(
-            start.select("key", F.lit(False).alias("asks"), F.lit(0).alias("arrived"), "bill",
-                         F.col("open_failure").alias("payment_failed"), was.alias("was")),
+            before_it.select("key", F.col("open_failure").alias("payment_failed"), was.alias("was")),
             allowMissingColumns=True,
         )
-        .withColumn("h", F.xxhash64("key"))
-    )
+        .repartition("key")
+        .withColumns(
+            {
+                "asks": request.isNotNull() | F.col("paymentId").isNotNull(),
+                "paymentId": F.coalesce(request["paymentId"], "paymentId"),
+                "arrived": F.col("kind").isNotNull().cast("int"),
+                "bill": F.coalesce("bill", "was.bill"),
+                "h": F.xxhash64("key"),
+            }
+        )
+    )
     by_payment = Window.partitionBy("h", "key", "asks", "paymentId").orderBy("arrived", "seq")
     in_order = Window.partitionBy("h", "key").orderBy(F.col("seq").asc_nulls_first())
     so_far, earlier, all_of = upto(in_order), before(in_order), whole(in_order)
@@ -389,8 +409,8 @@ def continued(
         F.min(F.coalesce("was.first_seq", "seq")).over(all_of).alias("first_seq"),
         F.max(F.coalesce("was.has_request", is_request)).over(all_of).alias("has_request"),
         F.last("bill", ignorenulls=True).over(all_of).alias("bill"),
-        F.min(F.when(F.col("was").isNotNull(), F.col("was.bill_low")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_low"),
-        F.max(F.when(F.col("was").isNotNull(), F.col("was.bill_high")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_high"),
+        F.min(F.when(F.col("was").isNotNull(), F.coalesce("was.bill_low", "bill")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_low"),
+        F.max(F.when(F.col("was").isNotNull(), F.coalesce("was.bill_high", "bill")).when(is_bill, F.col("bill"))).over(all_of).alias("bill_high"),
         F.max(F.coalesce("was.repeated", is_failure & F.col("follows"))).over(all_of).alias("repeated"),
         F.first(leads, ignorenulls=True).over(all_of).alias("leads_with_failure"),
         F.sum(F.coalesce("was.payments", F.col("new").cast("long"))).over(all_of).alias("payments"),
@@ -403,8 +423,7 @@ def continued(
     bill = F.last("bill", ignorenulls=True).over(so_far)
     last = F.lead(F.lit(1)).over(in_order).isNull()
     out = (
-        all_rows.repartition("key")
-        .withColumn("new", F.col("asks") & (F.col("arrived") == 1) & (F.row_number().over(by_payment) == 1))
+        all_rows.withColumn("new", F.col("asks") & (F.col("arrived") == 1) & (F.row_number().over(by_payment) == 1))
         .where("kind IS NOT NULL OR was IS NOT NULL")
         .withColumn("step", step)
         .withColumns({"follows": follows, "bill_before": bill_before})

@@ -1,13 +1,13 @@
 """Play a table of events through a streaming query, a stretch of time after another."""
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from eventfold.schemas import EVENT
-from eventfold.session import file_system, scratch
+from eventfold.session import FILES, file_system, scratch
+from eventfold.session import setting as _set
 from eventfold.sources.log import Log, read_events
 
 
@@ -25,8 +25,7 @@ def replay(
     staged = events.select(*columns, stretch.alias("stretch")).write.partitionBy("stretch")
     # a file open for each stretch, so that whole records are not sorted by it first
     with _set(spark, "spark.sql.maxConcurrentOutputFileWriters", stretches + 1):
-        # ids hardly repeat: a dictionary of them is made for nothing
-        staged.option("parquet.enable.dictionary", "false").parquet(staging)
+        staged.options(**FILES).parquet(staging)
     for i in range(stretches):
         if not _move(spark, f"{staging}/stretch={i}", source, i):
             spark.createDataFrame([], EVENT).write.mode("append").parquet(source)
@@ -36,17 +35,6 @@ def replay(
             raise query.exception()
 
 
-@contextmanager
-def _set(spark: SparkSession, name: str, value):
-    """A setting for a while."""
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
-
-
 def _move(spark: SparkSession, folder: str, source: str, i: int) -> int:
     """Move the files of a folder into the log, under names of their own; gives their number."""
     fs, at = file_system(spark, folder)

@@ -42,6 +42,7 @@ from eventfold.operators import billing, chaser
 from eventfold.operators.counts import countable
 from eventfold.operators.lookup import not_blank
 from eventfold.schemas import EVENT
+from eventfold.session import DROP_SHUFFLES
 from eventfold.streaming import state
 from eventfold.streaming.sinks import start as started
 from eventfold.streaming.state import BUCKETS, Manifest
@@ -61,6 +62,7 @@ class _Batch:
         self.spark, self.table, self.known, self.number = rows.sparkSession, table, known, number
         # streams turn it off for their own plans; what is planned here is plain batch work
         self.spark.conf.set("spark.sql.adaptive.enabled", "true")
+        self.spark.conf.set(DROP_SHUFFLES, "true")
         self.held: list[DataFrame] = []
         self.rows = self.keep(rows) if hold else rows
         self.next = known
@@ -69,6 +71,10 @@ class _Batch:
         self.held.append(df.persist())
         return df
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """As ``keep``, for what is as large as the micro-batch: in files, which take no memory."""
+        return state.stage(self.spark, self.table, df, self.number)
+
     def look(self, *totals) -> list:
         """One pass: totals of each bucket that is touched."""
         bucket = state.bucket_of("key", self.known.buckets)
@@ -134,6 +140,7 @@ def _run(
         finally:
             for df in batch.held:
                 df.unpersist()
+            state.unstage(batch.spark, table)
 
     return started(rows.writeStream.foreachBatch(each), checkpoint, every)
 
@@ -346,13 +353,13 @@ def keep_billing(
     def fold(batch: _Batch) -> dict:
         looked, hot = batch.look_by_key(hot_rows)
         cold, busy = split(batch.rows, hot)
-        was, known = batch.read("state", BY_KEY), batch.read("requests")
-        done = batch.keep(billing.continued(cold, known.select("key", "paymentId"), was, run_bits, changelog))
+        was, known = billing.unpacked(batch.read("state", BY_KEY)), batch.read("requests")
+        done = batch.stage(billing.continued(cold, known.select("key", "paymentId"), was, run_bits, changelog))
         fresh, now = _of_ordinary(done, batch)
         log = done.drop("state")
         if busy is not None:
-            busy_log, busy_fresh, busy_now = _of_hot(batch, batch.keep(busy), was, known, run_bits, changelog)
-            fresh, now = batch.keep(fresh.unionByName(busy_fresh)), batch.keep(now.unionByName(busy_now))
+            busy_log, busy_fresh, busy_now = _of_hot(batch, batch.stage(busy), was, known, run_bits, changelog)
+            fresh, now = fresh.unionByName(busy_fresh), now.unionByName(batch.stage(busy_now))
             log = log.unionByName(busy_log) if changelog else log
         if changelog:
             batch.append("changelog", log)
@@ -370,7 +377,7 @@ def keep_billing(
             pages = _billing_pages(touched, listed, page_size, F.col("from_page"), "last_seq", "batch")
             batch.append("pages", pages)
         batch.write("requests", fresh, ["key", "paymentId"], once=True)
-        batch.write("state", told, BY_KEY)
+        batch.write("state", billing.packed(told), BY_KEY)
         meters = batch.known.meters
         return {
             "aggregated": meters.get("aggregated", 0) + sum(r.n for r in looked),
@@ -460,7 +467,8 @@ def _billing_pages(totals: DataFrame, requests: DataFrame, page_size: int, first
     )
     pages = requests.groupBy("key", page_of("position", page_size).alias("page")).agg(listed.alias("paymentRequests"))
     last_page = page_of(F.greatest("payments", F.lit(1)), page_size)
-    of_page = of_each_page(totals.withColumn("last_page", last_page), first)
+    states = totals.withColumns({"last_page": last_page, "errored": billing.errored()}).drop("bill_low", "bill_high")
+    of_page = of_each_page(states, first)
     records = of_page.join(pages, ["key", "page"], "left")
     return records.select(
         "key",
@@ -469,7 +477,7 @@ def _billing_pages(totals: DataFrame, requests: DataFrame, page_size: int, first
         F.coalesce("paymentRequests", F.array()).alias("paymentRequests"),
         F.col("payments").alias("paymentCount"),
         F.col("open_failure").alias("lastPaymentFailed"),
-        billing.errored().alias("errored"),
+        "errored",
         *more,
     )
 
@@ -478,7 +486,8 @@ def kept_billing(spark: SparkSession, table: str, page_size: int = PAGE_SIZE) ->
     """The billing records as of the last micro-batch."""
     known = state.latest(spark, table)
     requests = state.newest_of_none(state.read(spark, table, known, "requests"), ["key", "paymentId"])
-    return _billing_pages(state.read(spark, table, known, "state", keys=BY_KEY), requests, page_size, None)
+    totals = billing.unpacked(state.read(spark, table, known, "state", keys=BY_KEY))
+    return _billing_pages(totals, requests, page_size, None)
 
 
 def kept_billing_of(spark: SparkSession, table: str, key: str, page_size: int = PAGE_SIZE) -> DataFrame:
@@ -486,12 +495,14 @@ def kept_billing_of(spark: SparkSession, table: str, key: str, page_size: int =
     not_blank(key)
     known = state.latest(spark, table)
     requests = state.read_key(spark, table, known, "requests", key, ["key", "paymentId"])
-    return _billing_pages(state.read_key(spark, table, known, "state", key, BY_KEY), requests, page_size, None)
+    totals = billing.unpacked(state.read_key(spark, table, known, "state", key, BY_KEY))
+    return _billing_pages(totals, requests, page_size, None)
 
 
 def assembled_billing(pages: DataFrame) -> DataFrame:
     """The billing records from published pages: of a page its last version, of a key its last state."""
-    newest = state.newest(pages, ["key", "page"])
+    # both windows in one shuffle and sort of the pages; the second gathers those of a key anyway
+    newest = state.newest(pages.repartition("key"), ["key", "page"])
     fields = ("bill", "paymentCount", "lastPaymentFailed", "errored")
     last = F.max_by(F.struct(*fields), F.struct("batch", "page")).over(Window.partitionBy("key"))
     return newest.withColumn("last", last).select("key", "page", "paymentRequests", "last.*")

@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from eventfold.session import FILES
 from eventfold.session import file_system as _fs
 
 BUCKETS = 64
 KEPT = 3
 FOLDER = "_manifests"
+STAGED = "_staged"
 
 
 @dataclass(frozen=True)
@@ -126,7 +128,8 @@ def commit(spark: SparkSession, table: str, manifest: Manifest) -> None:
 
 
 def sweep(spark: SparkSession, table: str) -> None:
-    """Remove generations that no manifest names, as killed micro-batches leave them."""
+    """Remove what was staged and generations that no manifest names, as killed micro-batches leave them."""
+    unstage(spark, table)
     manifests = [_load(spark, table, b) for b in _batches(spark, table)]
     named = {(part, generation) for m in manifests for part, generation, _ in _pairs(m)}
     for part in manifests[-1].parts:
@@ -239,7 +242,7 @@ def write(
         .hint("rebalance", "bucket")
         .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
-        .option("parquet.enable.dictionary", "false")  # keys and ids hardly repeat
+        .options(**FILES)
         .parquet(path)
     )
     for name in _names(spark, path):
@@ -250,12 +253,27 @@ def write(
     return Manifest(manifest.batch, manifest.buckets, manifest.owner, parts, manifest.meters)
 
 
+def stage(spark: SparkSession, table: str, rows: DataFrame, batch: int) -> DataFrame:
+    """Rows that several parts of a micro-batch are made of, written once and read back.
+
+    They take the executors' memory neither meanwhile nor, once ``unstage`` is called, the disk.
+    """
+    path = f"{table}/{STAGED}/{batch}-{uuid.uuid4().hex[:12]}"
+    rows.write.options(**FILES).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, table: str) -> None:
+    """Remove what a micro-batch has staged, or a killed one has left."""
+    _remove(spark, f"{table}/{STAGED}")
+
+
 def append(spark: SparkSession, table: str, manifest: Manifest, part: str, rows: DataFrame, batch: int) -> Manifest:
     """Add rows to a part that is a log: one generation for a batch, in a bucket of its own."""
     about = manifest.parts[part]
     generation = f"{batch}-{uuid.uuid4().hex[:12]}"
     columns = StructType.fromJson(json.loads(about["schema"])).names
-    rows.select(*columns).write.parquet(f"{table}/{part}/gen={generation}/bucket=0")
+    rows.select(*columns).write.option("compression", FILES["compression"]).parquet(f"{table}/{part}/gen={generation}/bucket=0")
     live = {"0": [*about["live"].get("0", ()), [generation, batch]]}
     parts = {**manifest.parts, part: {**about, "live": live}}
     return Manifest(manifest.batch, manifest.buckets, manifest.owner, parts, manifest.meters)

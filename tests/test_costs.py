@@ -1,18 +1,20 @@
 """What the replay and its streams must not spend: sorts, counts and numbers that nobody needs."""
 
 import datetime
+import time
 
 import pytest
-from events import bill, frame
+from events import bill, failed, frame, request
 from pyspark.sql import functions as F
 from test_kept import Stream
 
+from eventfold.operators import billing
 from eventfold.operators.counts import event_counts
 from eventfold.plans import queries, replay
 from eventfold.schemas import EVENT
 from eventfold.session import prepare
 from eventfold.sources import tables
-from eventfold.streaming import kept
+from eventfold.streaming import kept, state
 
 
 def test_row_numbers_of_state_are_not_kept(spark):
@@ -107,3 +109,76 @@ def test_hot_keys_of_a_damaged_topic_are_measured_once(spark, tmp_path, monkeypa
     monkeypatch.setattr(tables, "hot_keys", lambda *args: measured.append(args) or hot_keys(*args))
     queries.damaged_topic_billing(spark, folder)
     assert len(measured) == 1
+
+
+SOME = [e for k in "abc" for e in (bill(k, 1), request(k, 2, "P1"), request(k, 3, "P2"), failed(k, 4))]
+
+
+def _shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_a_billing_micro_batch_holds_nothing_in_memory_and_leaves_no_shuffle_files(spark, monkeypatch):
+    commit, held = state.commit, []
+
+    def counted(*args):
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        commit(*args)
+
+    monkeypatch.setattr(state, "commit", counted)
+    s = Stream(spark, kept.keep_billing, "billing", changelog=True, publish=True, hot_rows=100)
+    known, cached = _shuffle_files(spark), spark.sparkContext._jsc.getPersistentRDDs().size()
+    s.play(SOME)
+    s.play([bill("a", 5, 7), request("d", 1)])
+    assert held == [cached] * 3  # the table's making and two micro-batches
+    until = time.time() + 20
+    while _shuffle_files(spark) - known and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - known
+    assert state._names(spark, f"{s.table}/{state.STAGED}") == []
+
+
+def test_what_a_killed_micro_batch_staged_is_removed(spark):
+    s = Stream(spark, kept.keep_billing, "billing")
+    s.play(SOME)
+    state.stage(spark, s.table, frame(spark, SOME), 1)
+    assert state._names(spark, f"{s.table}/{state.STAGED}")
+    s.run()
+    assert state._names(spark, f"{s.table}/{state.STAGED}") == []
+
+
+def test_kept_files_are_small(spark):
+    """Compressed by zstd, and a bill that is all of current, lowest and highest is there once."""
+    s = Stream(spark, kept.keep_billing, "billing", changelog=True, publish=True)
+    s.play([*SOME, bill("b", 5, 7)])
+    known = state.latest(spark, s.table)
+    for part in known.parts:
+        found = state.read(spark, s.table, known, part).inputFiles()
+        assert found and all(f.endswith(".zstd.parquet") for f in found)
+    stored = {r.key: r for r in state.read(spark, s.table, known, "state").collect()}
+    assert {k: (r.bill_low is None, r.bill_high is None) for k, r in stored.items()} == {
+        "a": (True, True), "b": (True, False), "c": (True, True),
+    }
+    assert {r.key: r.errored for r in kept.kept_billing(spark, s.table).collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_packed_states_come_back_whole(spark):
+    one, two = ("b", "c", "o", 1, "USD", 1, 2), ("b", "c", "o", 2, "USD", 1, 2)
+    kind = tables.BILL.simpleString()
+    rows = [(one, one, one), (two, one, two), (one, one, two), (None, None, None), (None, one, two), (None, one, one)]
+    states = spark.createDataFrame(rows, f"bill {kind}, bill_low {kind}, bill_high {kind}")
+    small = billing.packed(states)
+    assert small.where("bill_low IS NULL").count() == 3 and small.where("bill_high IS NULL").count() == 3
+    assert billing.unpacked(small).collect() == states.collect()
+
+
+def test_pages_are_assembled_in_one_shuffle(spark):
+    s = Stream(spark, kept.keep_billing, "billing", publish=True, page_size=1)
+    s.play(SOME)
+    s.play([request("a", 5, "P3")])
+    got = kept.assembled_billing(kept.kept_log(spark, s.table, "pages"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r.key, r.page, r.paymentCount) for r in got.collect()) == [
+        ("a", 0, 3), ("a", 1, 3), ("a", 2, 3), *[(k, p, 2) for k in "bc" for p in (0, 1)],
+    ]
